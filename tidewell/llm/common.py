@@ -87,3 +87,18 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def filter_texts(df: DataFrame, make_keep: Callable[[], Callable], column: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text ``make_keep()`` says to keep.
+
+    ``make_keep`` runs once a task; what it returns gets one text, or None.
+    """
+
+    def run(batches):
+        keep = make_keep()
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            yield batch.filter(pa.array([bool(keep(t)) for t in batch.column(at).to_pylist()], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import simhash
+import public_tokenizers
+
+from tidewell.llm import decontaminate, packing, simhash, tokens
 from tidewell.llm.common import table
 
 
@@ -10,8 +12,23 @@ def op1_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {}
