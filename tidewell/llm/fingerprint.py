@@ -7,7 +7,7 @@ Micciancio, 1997). So order doesn't matter, equal multisets are equal, and a
 paragraph is put in or taken out by adding or subtracting its vector.
 
 The vector has 63 components of one bit, kept modulo 2**20, three to a long
-with a clear bit between them, eight components of 32 bits, and the number 1.
+with a clear bit between them, four components of 32 bits, and the number 1.
 The one-bit components read as signs are an AMS sketch (Alon, Matias, Szegedy,
 1996): squared differences of two fingerprints estimate how many paragraphs
 the documents don't share. Everything is Spark SQL.
@@ -15,11 +15,8 @@ the documents don't share. Everything is Spark SQL.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Three components of 20 bits with a spare bit after each.
 LANES = 21
@@ -33,24 +30,29 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"[\r\n]+|(?<=[.!?]) "), lambda p: F.trim(p) != "")
 
 
-def multiset_hash(parts: Column) -> Column:
-    """The summed vector: ``array<long>`` of 21 packed sketch components, 8 of 32 bits, 1 count."""
-    near = F.transform(parts, lambda p: F.xxhash64(p))
-    wide = F.transform(parts, lambda p: F.xxhash64(p, F.lit(1)))
-    far = F.transform(parts, lambda p: F.xxhash64(p, F.lit(2)))
+def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the summed vector of a text column: ``array<long>`` of 21 packed
+    sketch components, 4 of 32 bits and the count.
+
+    Each step is a projection of its own, so that Catalyst computes the split
+    and the hashes once and not in every sum that reads them.
+    """
+    p, near, wide, far = (f"{name}_{x}" for x in ("parts", "near", "wide", "far"))
+    df = df.withColumn(p, paragraphs(F.col(text)))
+    df = df.select(
+        "*", F.transform(p, lambda x: F.xxhash64(x)).alias(near),
+        F.transform(p, lambda x: F.xxhash64(x, F.lit(1))).alias(wide), F.transform(p, lambda x: F.xxhash64(x, F.lit(2))).alias(far),
+    )
 
-    def add(hashes: Column, part, mask: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + part(h)).bitwiseAND(F.lit(mask)))
+    def add(hashes: str, shift: int, bits: int, mask: int) -> Column:
+        return F.aggregate(
+            F.col(hashes), F.lit(0).cast("long"),
+            lambda a, h: (a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(bits))).bitwiseAND(F.lit(mask)),
+        )
 
-    sketch = [add(near, lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ONES)), MASK) for i in range(LANES)]
-    halves = []
-    for source in (wide, far):
-        for mul in (0, 1):
-            for shift in (0, 32):
-                halves.append(
-                    add(F.transform(source, lambda h, m=mul: F.xxhash64(h, F.lit(m))), lambda h, s=shift: F.shiftrightunsigned(h, s).bitwiseAND(F.lit(LOW)), LOW)
-                )
-    return F.array(*sketch, *halves, F.size(parts).cast("long").bitwiseAND(F.lit(LOW)))
+    sketch = [add(near, i, ONES, MASK) for i in range(LANES)]
+    halves = [add(h, shift, LOW, LOW) for h in (wide, far) for shift in (0, 32)]
+    return df.withColumn(name, F.array(*sketch, *halves, F.size(p).cast("long"))).drop(p, near, wide, far)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -112,11 +114,9 @@ def following(docs: DataFrame, fields: list[str], buckets: int | None = None) ->
     if ghosts:
         places = F.create_map(*(F.lit(x) for pair in ghosts.items() for x in pair))
         copies = F.explode(F.array_compact(F.array(F.struct("range", F.lit(False).alias("ghost")), F.when(places[F.col("doc_id")].isNotNull(), F.struct(places[F.col("doc_id")].alias("range"), F.lit(True).alias("ghost"))))))
-        placed = placed.drop("range").select("*", copies.alias("at")).select("*", "at.range", "at.ghost").drop("at")
+        placed = placed.select("*", copies.alias("at")).drop("range").select("*", "at.range", "at.ghost").drop("at")
     else:
         placed = placed.withColumn("ghost", F.lit(False))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc(), "tie")
     later = F.lead(F.struct(*fields)).over(order)
     return placed.withColumn("next", later).where("not ghost").drop("range", "ghost")
@@ -131,18 +131,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id follow each other by their text's hash. A single
     document follows itself. Rows without an id come last.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("tie"), multiset_hash(paragraphs(F.col("text"))).alias("vector")
-    )
-    pairs = following(base, ["text", "vector"])
-    n = F.length("text")
-    edited = (
-        pairs.withColumn("n_chars", n.cast("long"))
-        .withColumn("half", F.floor(n / 2).cast("int"))
-        .withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - half)"), F.expr("substring(coalesce(next.text, text), 1, half)")))
-        .select("doc_id", "n_chars", "vector", F.coalesce("next.vector", "vector").alias("next_vector"), F.sha2("edited", 256).alias("edited_sha256"), multiset_hash(paragraphs(F.col("edited"))).alias("edited_vector"))
-    )
-    return edited.select(
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = with_vector(base.withColumn("tie", F.xxhash64("text")), "text", "vector")
+    half = "cast(length(text) div 2 as int)"
+    edited = following(base, ["text", "vector"]).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "vector", F.coalesce("next.vector", "vector").alias("next_vector"),
+        F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(coalesce(next.text, text), 1, {half}))").alias("edited"),
+    )
+    found = with_vector(edited.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_vector")
+    return found.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("vector")).alias("fingerprint"), as_hex(F.col("edited_vector")).alias("edited_fingerprint"),
         likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
     )
