@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewell.llm import decontaminate, fingerprint, packing, simhash, substrings, tokens
+from tidewell.llm import decontaminate, fingerprint, licenses, packing, simhash, substrings, tokens
 from tidewell.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,10 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_licenses": licenses.oracle(),
+}
