@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewell.llm import decontaminate, fingerprint, licenses, packing, simhash, substrings, tokens
+from tidewell.llm import decontaminate, fingerprint, licenses, packing, simhash, substrings, tokens, toxicity
 from tidewell.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ def op10_fingerprints(spark, sf_dir):
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,

@@ -134,9 +134,10 @@ def windows(listed: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     """Words ``[start, stop)`` to remove, ``(doc_id, start, stop)``; spans overlap."""
     every = materialize(paths(docs, window, k), "substrings-paths")
-    shared = every.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimizer")
+    # Written, so that the joins read plain exchanges, of which Spark splits hot keys.
+    shared = materialize(every.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimizer"), "substrings-minimizers")
     kept = materialize(every.join(shared, "minimizer", "left_semi"), "substrings-shared")
-    firsts = kept.groupBy("minimizer", "h1", "h2").agg(F.min("doc_id").alias("first"))
+    firsts = materialize(kept.groupBy("minimizer", "h1", "h2").agg(F.min("doc_id").alias("first")), "substrings-firsts")
     placed = materialize(kept.join(firsts, ["minimizer", "h1", "h2"]), "substrings-placed")
     same = placed.where("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
 
