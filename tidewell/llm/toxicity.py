@@ -59,7 +59,7 @@ class Linear:
     intercept: float = 0.0
 
 
-def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, keep: int = 1024, penalty: float = 0.1) -> Linear:
+def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, keep: int = 512, penalty: float = 0.1) -> Linear:
     """Logistic regression on the features that tell the classes apart most.
 
     They are chosen by the likelihood ratio of their presence; the fit is
@@ -80,7 +80,7 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, keep:
     for part, whole, share in ((a, seen[use], pos / n), (c, seen[use], 1 - pos / n), (pos - a, n - seen[use], pos / n), (n - pos - c, n - seen[use], 1 - pos / n)):
         gain += np.where(part > 0, part * np.log(np.maximum(part, 1e-9) / np.maximum(whole * share, 1e-9)), 0)
     chosen = use[np.argsort(-gain, kind="stable")[:keep]]
-    chosen = chosen[np.sort(gain)[::-1][: len(chosen)] > 15.0]
+    chosen = chosen[np.sort(gain)[::-1][: len(chosen)] > 8.0]
     column = np.full(1 << BITS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + before.shape[1] + 1))
