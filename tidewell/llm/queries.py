@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewell.llm import decontaminate, fingerprint, licenses, packing, simhash, substrings, tokens, toxicity
+from tidewell.llm import decontaminate, fingerprint, licenses, packing, secrets, simhash, substrings, tokens, toxicity
 from tidewell.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -42,6 +46,7 @@ def op10_fingerprints(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_secrets": op2_secrets,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
