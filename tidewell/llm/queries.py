@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewell.llm import decontaminate, fingerprint, licenses, packing, secrets, simhash, substrings, tokens, toxicity
+from tidewell.llm import decontaminate, fingerprint, licenses, packing, pii, secrets, simhash, substrings, tokens, toxicity
 from tidewell.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secrets": op2_secrets,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
