@@ -910,3 +910,62 @@ def unknown_keys(spark, sf_dir):
     k = F.col("n_nationkey")
     e = read(spark, sf_dir, "nation").select("n_nationkey", F.when(k % 2 == 0, F.create_map(F.lit("url"), F.lit("u"), F.lit("extra"), F.lit("1"))).otherwise(F.create_map(F.lit("url"), F.lit("u"))).alias("entry"))
     return catalog.unknown_keys(e, ["url", "command"]).select("n_nationkey", F.array_join("unknown", ",").alias("unknown"))
+
+
+# ---- JSON, chunking and indexing ----------------------------------------------
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{"a":{"b":1,"c":[9]},"d":null,"n":' || n_nationkey || '}' ELSE '{"a":{"b":1,"c":[1,2]},"d":0}' END AS config FROM nation""")
+def deep_merge(spark, sf_dir):
+    from tidewell.functions import json as js
+
+    k = F.col("n_nationkey")
+    patch = F.when(k % 2 == 0, F.concat(F.lit('{"a":{"c":[9]},"d":null,"n":'), k.cast("string"), F.lit("}"))).otherwise("{broken")
+    return read(spark, sf_dir, "nation").select("n_nationkey", js.deep_merge(F.lit('{"a":{"b":1,"c":[1,2]},"d":0}'), patch).alias("config"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{"l":[{}],"x":' || n_nationkey || '}' ELSE '{"x":' || n_nationkey || '}' END AS stripped FROM nation""")
+def strip_empty(spark, sf_dir):
+    from tidewell.functions import json as js
+
+    k = F.col("n_nationkey")
+    value = F.concat(F.lit('{"e":{"f":null},'), F.when(k % 2 == 0, '"l":[{"g":[]}],').otherwise('"l":[],'), F.lit('"x":'), k.cast("string"), F.lit("}"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", js.strip_empty(value).alias("stripped"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 3 = 2 AS changed FROM nation")
+def connection_changed(spark, sf_dir):
+    from tidewell.functions import json as js
+
+    k = F.col("n_nationkey")
+    before = F.lit('{"id":1,"command":"x","env":null}')
+    after = F.when(k % 3 == 0, '{"id":2,"description":"d","command":"x","env":{}}').when(k % 3 == 1, '{"command":"x","options":{"timeout":60000}}').otherwise('{"command":"x","options":{"timeout":5}}')
+    return read(spark, sf_dir, "nation").select("n_nationkey", js.connection_changed(before, after).alias("changed"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'https://a.example/v1' WHEN 1 THEN 'http://localhost/api' WHEN 2 THEN 'http://h.example/b' END AS url FROM nation""")
+def api_base_url(spark, sf_dir):
+    from tidewell.functions import json as js
+
+    m = F.col("n_nationkey") % 4
+    spec = (
+        F.when(m == 0, '{"servers":[{"url":"{host}/v1","variables":{"host":{"default":"https://a.example"}}}]}').when(m == 1, '{"servers":[{"url":"/api"}]}')
+        .when(m == 2, '{"host":"h.example","basePath":"/b","schemes":["http"]}').otherwise('{"info":{}}')
+    )
+    return read(spark, sf_dir, "nation").select("n_nationkey", js.api_base_url(spec).alias("url"))
+
+
+@query()
+def doc_chunks(spark, sf_dir):
+    from tidewell.operators.chunking import chunk_documents
+
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")).alias("name"), "text")
+    return chunk_documents(d, 120, 20).select("doc_id", "doc_name", "chunk_index", "chunk_text")
+
+
+@query()
+def indexed_documents(spark, sf_dir):
+    from tidewell.operators.embedding import index_documents
+
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text", F.array("lang").alias("tags"))
+    return index_documents(d, 200, 40)[0]

@@ -53,12 +53,12 @@ def decode_bytes(raw: bytes) -> tuple[str, str]:
     return raw.decode("cp1252", errors="replace"), "cp1252"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_text(content: pd.Series) -> pd.Series:
     return content.map(lambda b: likely_text(bytes(b or b"")))
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def decode(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode_bytes(bytes(b or b"")) for b in content], columns=["text", "encoding"])
 
@@ -67,7 +67,8 @@ def read_uploads(spark: SparkSession, path: str, glob: str = "*", recursive: boo
     """``(path, name, size, text, encoding, title, error)`` of all files.
 
     A file that is too large or not text has an error instead of text; the
-    size is known from the listing, so such content isn't decoded.
+    size is known from the listing, so such content isn't decoded. Spark's
+    reader passes by files of no bytes.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
     named = raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), "content")
