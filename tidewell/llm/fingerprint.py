@@ -27,7 +27,7 @@ LOW = 0xFFFFFFFF
 
 def paragraphs(text: Column) -> Column:
     """Lines, cut after ``.``, ``!`` or ``?`` and a space; blank ones left out."""
-    return F.filter(F.split(text, r"[\r\n]+|(?<=[.!?]) "), lambda p: F.trim(p) != "")
+    return F.filter(F.split(text, r"[\r\n]+|(?<=[.!?]) "), lambda p: p.rlike(r"\S"))
 
 
 def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:

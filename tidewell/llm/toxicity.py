@@ -125,7 +125,8 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, shares: list[float], f
                 out[i] = clip(raw_score(part, rows[i].tolist(), before[i]))
         models.append(fit_linear(rows, before, y))
         before = np.column_stack([before, out])
-        here, true = min(max(y.mean(), 1e-4), 1 - 1e-4), min(max(shares[j], 1e-4), 1 - 1e-4)
+        # Smoothed as the model of a single class is, so that a sample without one value isn't taken for proof.
+        here, true = (y.sum() + 0.5) / (n + 1), (shares[j] * n + 0.5) / (n + 1)
         models[-1].intercept += float(np.log(true / (1 - true)) - np.log(here / (1 - here)))
     return models
 
