@@ -969,3 +969,57 @@ def indexed_documents(spark, sf_dir):
 
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text", F.array("lang").alias("tags"))
     return index_documents(d, 200, 40)[0]
+
+
+# ---- settings and small lists --------------------------------------------------
+
+
+@query("SELECT event_id, coalesce(json_extract(props, '$.k')::VARCHAR, 'none') AS k, 'true' AS skip FROM events")
+def json_defaults(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("k"), F.coalesce(F.get_json_object("props", "$.routing.skipAuth"), F.lit("true")).alias("skip"))
+
+
+@query("""SELECT s_suppkey, '{"name":"' || s_name || '","env":{"URL":"u","AUTH_TOKEN":"***"}}' AS entry FROM supplier""")
+def export_redacted(spark, sf_dir):
+    env = txt.redact_env(F.create_map(F.lit("URL"), F.lit("u"), F.lit("AUTH_TOKEN"), F.col("s_name")))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_name").alias("name"), env.alias("env"))).alias("entry"))
+
+
+@query("SELECT n_nationkey, 'a,b,n' || n_nationkey AS added, 'b' AS removed FROM nation")
+def member_lists(spark, sf_dir):
+    a = F.array(F.lit("a"), F.lit("b"))
+    new = F.array(F.lit("b"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(mutations.add_members(a, new), ",").alias("added"), F.array_join(mutations.remove_members(a, F.array(F.lit("a"))), ",").alias("removed"))
+
+
+@query("SELECT p_partkey, p_size || '.' || (p_partkey % 13) AS version FROM part ORDER BY p_size DESC, p_partkey % 13 DESC, p_partkey LIMIT 60")
+def version_order(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 13).cast("string")).alias("version"))
+    return p.orderBy(num.version_parts("version").desc(), "p_partkey").limit(60)
+
+
+@query("SELECT s_suppkey FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(min(s_name)) FROM supplier)")
+def reserved_names(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    taken = [s.agg(F.min("s_name")).first()[0].lower()]
+    return s.where(~txt.fold_ascii("s_name").isin(taken)).select("s_suppkey")
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS size, strlen(text) > 5000 AS too_large FROM documents")
+def size_guard(spark, sf_dir):
+    size = F.octet_length("text").cast("bigint")
+    return read(spark, sf_dir, "documents").select("doc_id", size.alias("size"), (size > 5000).alias("too_large"))
+
+
+@query("""SELECT n.n_name AS name, s.s_name AS server FROM nation n JOIN supplier s ON s.s_nationkey IN (n.n_nationkey, n.n_nationkey + 1)""")
+def servers_of_groups(spark, sf_dir):
+    n, s = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    members = n.select("n_name", F.explode(F.array("n_nationkey", F.col("n_nationkey") + 1)).alias("s_nationkey"))
+    return members.join(s, "s_nationkey").select(F.col("n_name").alias("name"), F.col("s_name").alias("server"))
+
+
+@query("SELECT s_name AS name, 'stdio' AS kind FROM supplier UNION ALL SELECT 'builtin', 'builtin'")
+def servers_with_builtin(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("stdio").alias("kind"))
+    return s.unionByName(spark.range(1).select(F.lit("builtin").alias("name"), F.lit("builtin").alias("kind")))
