@@ -6,7 +6,7 @@ a join on names, no list is gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,10 +70,10 @@ def listed_tools(filters: DataFrame, tools: DataFrame, separator: str = "-") ->
 
     With more than one server in scope the server's name is put before.
     """
-    many = filters.agg((F.count("*") > 1).alias("many"))
+    many = filters.limit(2).count() > 1
     out = filters.select(F.col("name").alias("server_name"), F.col("tools").alias("allowed"), "ord").join(tools.where("enabled"), "server_name")
-    out = out.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("name"))).join(F.broadcast(many), F.lit(True))
-    exposed = F.when(F.col("many"), F.concat("server_name", F.lit(separator), "name")).otherwise(F.col("name"))
+    out = out.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("name")))
+    exposed = F.concat("server_name", F.lit(separator), "name") if many else F.col("name")
     return out.select("server_name", "name", exposed.alias("exposed_name"), F.coalesce("description", F.lit("")).alias("description"))
 
 
@@ -84,12 +84,11 @@ def route(calls: DataFrame, filters: DataFrame, tools: DataFrame, separator: str
     called name; else the first that has a tool of that very name. The exposed
     name is a key of the join, so no prefix is compared with every server.
     """
-    many = filters.agg((F.count("*") > 1).alias("many"))
+    many = filters.limit(2).count() > 1
     there = filters.select(F.col("name").alias("server_name"), F.col("tools").alias("allowed"), "ord").join(tools.select("server_name", "name").distinct(), "server_name")
-    there = there.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("name"))).join(F.broadcast(many), F.lit(True))
-    names = F.array_compact(F.array(
-        F.struct(F.col("name").alias("tool_name"), F.lit(1).alias("pass")), F.when(F.col("many"), F.struct(F.concat("server_name", F.lit(separator), "name").alias("tool_name"), F.lit(0).alias("pass")))
-    ))
+    there = there.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("name")))
+    prefixed = [F.struct(F.concat("server_name", F.lit(separator), "name").alias("tool_name"), F.lit(0).alias("pass"))] * many
+    names = F.array(F.struct(F.col("name").alias("tool_name"), F.lit(1).alias("pass")), *prefixed)
     ways = there.select("server_name", "name", "ord", F.explode(names).alias("x")).select("server_name", "name", "ord", "x.tool_name", "x.pass")
     best = ways.groupBy("tool_name").agg(F.min_by(F.struct("server_name", "name"), F.struct("pass", "ord", "server_name")).alias("to"))
     return calls.join(best, "tool_name", "left").select("call_id", "tool_name", F.col("to.server_name").alias("server_name"), F.col("to.name").alias("name"))
