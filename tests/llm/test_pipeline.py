@@ -1,10 +1,12 @@
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import prose, row
 from tests.llm.test_decontaminate import plain
 from tests.llm.test_tokens_and_packing import check_packing
+from tests.oracle import assert_same, connect
 from tidewell.llm import pii
 from tidewell.llm.queries import ORACLES, QUERIES
 
@@ -48,3 +50,8 @@ def test_queries_are_the_ten(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
     assert public_tokenizers.path("word_bpe_49k.json") not in str(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, sf_dir, name):
+    assert_same(QUERIES[name](spark, sf_dir), connect(sf_dir).sql(ORACLES[name]))

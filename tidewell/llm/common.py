@@ -41,6 +41,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 1024):
+    """The same rows in smaller batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_columns(
     df: DataFrame, columns: list[str], schema: str, fn: Callable[..., dict]
 ) -> DataFrame:
@@ -49,7 +56,7 @@ def map_columns(
     arrow = to_arrow_schema(struct)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = fn(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
             yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], type=f.type) for f in arrow}, schema=arrow)
 
@@ -97,7 +104,7 @@ def filter_texts(df: DataFrame, make_keep: Callable[[], Callable], column: str =
 
     def run(batches):
         keep = make_keep()
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(column)
             yield batch.filter(pa.array([bool(keep(t)) for t in batch.column(at).to_pylist()], type=pa.bool_()))
 

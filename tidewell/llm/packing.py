@@ -43,7 +43,7 @@ class WordEncoder(dict):
     those of all merges, so this first merge is always the one taken.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         self.most = most
         self.library = Tokenizer.from_file(path)

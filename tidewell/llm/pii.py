@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_columns
+from tidewell.llm.common import map_columns, slices
 from tidewell.llm.crf import chain_gradient, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -377,7 +377,7 @@ def masked(docs: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fit())
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             new = [None if t is None else mask(t, s) for t, s in zip(texts, all_spans(held.value, [t or "" for t in texts]), strict=True)]
             columns = {"text": pa.array(new, type=pa.string())}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewell.llm import decontaminate, fingerprint, licenses, packing, pii, secrets, simhash, substrings, tokens, toxicity
+from tidewell.llm import decontaminate, fingerprint, licenses, oracles, packing, pii, secrets, simhash, substrings, tokens, toxicity
 from tidewell.llm.common import table
 
 
@@ -62,5 +62,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": oracles.SUBSTRINGS,
+    "op6_decontaminate": oracles.DECONTAMINATE,
     "op9_licenses": licenses.oracle(),
 }

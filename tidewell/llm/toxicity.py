@@ -134,7 +134,7 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, shares: list[float], f
 class Scorer(dict):
     """Chosen features of each token, looked up once; forgets when full."""
 
-    def __init__(self, models: list[Linear], most: int = 500_000):
+    def __init__(self, models: list[Linear], most: int = 300_000):
         super().__init__()
         self.models, self.most = models, most
         self.used = {f for m in models for f in m.weights}
