@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     placed = materialize(kept.join(firsts, ["minimizer", "h1", "h2"]), "substrings-placed")
     same = placed.where("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
 
-    branching = firsts.groupBy("minimizer").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("minimizer")
+    branching = materialize(firsts.groupBy("minimizer").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("minimizer"), "substrings-branching")
     parts = (
         placed.where("doc_id = first").join(branching, "minimizer", "left_semi")
         .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
