@@ -73,6 +73,13 @@ def test_nearest_to_each_in_blocks(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and all(r.doc_id % 5 == r.query_id for r in one)
 
 
+def test_ties_of_one_common_vector_follow_the_key(spark):
+    chunks = spark.createDataFrame([(i, 0, [1.0, 1.0]) for i in range(400)], "doc_id long, chunk_index long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0])], "query_id long, vector array<float>")
+    rows = search.nearest_to_each(asked, chunks, 4).select("query_id", "doc_id").collect()
+    assert sorted(map(tuple, rows)) == [(q, d) for q in (1, 2) for d in range(4)]
+
+
 def test_schema_guard(chunks):
     assert not schema_guard(chunks, 2)
     assert schema_guard(chunks, 3)

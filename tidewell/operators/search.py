@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import cosine_distance, cosine_score, literal_vector
@@ -43,16 +45,13 @@ def nearest(chunks: DataFrame, vector: list[float], k: int, keys: list[str] = KE
     return found.orderBy("distance", *keys).limit(k)
 
 
-def nearest_to_each(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
+def nearest_to_each(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 4096) -> DataFrame:
     """``k`` nearest chunks of each query ``(query_id, vector)``.
 
     The queries are counted: up to ``max_queries`` are sent to all tasks, each
     of which keeps ``k`` a query before anything is exchanged. More are taken
     in blocks of that many.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = chunks.sparkSession
     n = queries.count()
     blocks = [queries] if n <= max_queries else [
@@ -70,23 +69,25 @@ def nearest_to_each(queries: DataFrame, chunks: DataFrame, k: int, max_queries:
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
+                pdf = pdf.sort_values(["doc_id", "chunk_index"], kind="stable")
                 m = np.stack(pdf["embedding"].to_list()).astype("float64")
-                sizes = np.linalg.norm(m, axis=1)
-                score = np.where(sizes[:, None] > 0, (m @ q.T) / np.maximum(sizes[:, None], 1e-300), 0.0)
-                top = np.argsort(-score, axis=0, kind="stable")[: k + 16]
-                part = pd.DataFrame({
-                    "query_id": np.tile(ids, len(top)), "doc_id": pdf["doc_id"].to_numpy()[top].ravel(), "chunk_index": pdf["chunk_index"].to_numpy()[top].ravel(),
-                    "score": np.take_along_axis(score, top, axis=0).ravel(),
-                })
-                kept = part if kept is None else pd.concat([kept, part])
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                doc, chunk, parts, n = pdf["doc_id"].to_numpy(), pdf["chunk_index"].to_numpy(), [], min(k, len(pdf))
+                for at in range(0, len(ids), 256):  # so many columns of scores at a time
+                    score = m @ q[at : at + 256].T
+                    least = np.partition(score, len(pdf) - n, axis=0)[len(pdf) - n]
+                    for j, query in enumerate(ids[at : at + 256]):
+                        # All ties of the last place, in key order, then the first n by score.
+                        row = np.flatnonzero(score[:, j] >= least[j])
+                        row = row[np.argsort(-score[row, j], kind="stable")[:n]]
+                        parts.append(pd.DataFrame({"query_id": query, "doc_id": doc[row], "chunk_index": chunk[row], "score": score[row, j]}))
+                kept = pd.concat(parts if kept is None else [kept, *parts])
                 kept = kept.sort_values(["query_id", "score", "doc_id", "chunk_index"], ascending=[True, False, True, True]).groupby("query_id").head(k)
             if kept is not None:
                 yield kept
 
         part = chunks.select("doc_id", "chunk_index", "embedding").mapInPandas(best, "query_id long, doc_id long, chunk_index long, score double")
         out = part if out is None else out.unionByName(part)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
