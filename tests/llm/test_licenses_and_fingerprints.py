@@ -54,6 +54,12 @@ def test_any_number_of_ranges(spark, documents, texts):
         assert got == {k: texts[ids[(i + 1) % len(ids)]] for i, k in enumerate(ids)}
 
 
+def test_ranges_of_edges(spark):
+    for edges in ([], [5], [1, 2, 3], list(range(0, 50, 3)), list(range(7))):
+        got = spark.range(-2, 60).select("id", fingerprint._below(edges, F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(e < r.id for e in edges) for r in got)
+
+
 def test_sums_and_differences(spark):
     rows = [("a\nb\nc", "c\n\nb", "a\nb\nc\nc\nb")]
     df = spark.createDataFrame(rows, "x string, y string, both string")

@@ -94,6 +94,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / total))
 
 
+def _below(edges: list[int], x: Column) -> Column:
+    """How many of the sorted edges are below ``x``, in two steps of the root of their number."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, round(len(edges) ** 0.5))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    count = lambda array: F.size(F.filter(array, lambda e: e < x))
+    full = count(longs([g[-1] for g in groups]))
+    inside = full * step + count(F.get(F.array(*(longs(g) for g in groups)), full))
+    return F.when(full == len(groups), len(edges)).otherwise(inside)
+
+
 def following(docs: DataFrame, fields: list[str], buckets: int | None = None) -> DataFrame:
     """``docs`` with ``next``, a struct of the fields of the next smaller doc_id.
 
@@ -102,12 +115,10 @@ def following(docs: DataFrame, fields: list[str], buckets: int | None = None) ->
     one document that follows its last.
     """
     spark = docs.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Several ranges a task, as they are dealt by hash.
+    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    at = F.lit(0)
-    if edges:
-        at = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in edges)), lambda e: e < F.col("doc_id")))
+    at = _below(sorted(set(edges)), F.col("doc_id"))
     placed = docs.withColumn("range", at)
     heads = sorted((r["range"], r["top"]) for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).where("top is not null").collect())
     ghosts = {top: heads[(i + 1) % len(heads)][0] for i, (_, top) in enumerate(heads)}
