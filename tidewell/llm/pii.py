@@ -304,7 +304,7 @@ def model_spans(p: dict, texts: list[str], batch: int = 256) -> list[list[tuple[
     """Reconciled spans of each text; the windows of all texts share batches."""
     jobs = [(i, a, z, cut(a, z)) for i, t in enumerate(texts) for a, z in stretches(t)]
     flat = [(i, s) for i, a, z, starts in jobs for s in starts]
-    tags = np.zeros((len(flat), WINDOW), dtype=np.int64)
+    tags = np.zeros((len(flat), WINDOW), dtype=np.int8)
     moves = p["moves"]
     for at in range(0, len(flat), batch):
         part = flat[at : at + batch]
