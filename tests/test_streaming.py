@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import activity, scope
@@ -87,3 +88,15 @@ def test_routing_prefers_prefix_then_order(spark):
 def test_empty_tool_list_means_all(spark):
     n = spark.createDataFrame([('"all"',), ("[]",), ('["x"]',), (None,)], "v string")
     assert [r[0] for r in n.select(scope.selection(F.col("v"))).collect()] == [None, None, ["x"], None]
+
+
+def test_task_machine_over_a_stream(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    rows = [("a", at(1), "working"), ("a", at(2), "completed"), ("a", at(3), "failed"), ("b", at(1), "working"), ("b", at(2), "working")]
+    df = stream(spark, rows, "task_id string, at timestamp_ntz, status string", str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = drain(tasks.stream_tasks(df), "machine", str(tmp_path / "cp"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted((r.task_id, r.status) for r in got) == [("a", "completed"), ("a", "working"), ("b", "working")]
