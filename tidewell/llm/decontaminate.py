@@ -9,7 +9,7 @@ compared word by word. Patterns of one length share a table.
 
 Patterns are broadcast in shards of at most ``shard_bytes`` of benchmark text,
 whose size is summed first; more shards mean more passes over the documents,
-and their hits are united by document.
+and their hits are united by row.
 """
 
 from __future__ import annotations
@@ -105,20 +105,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``.
 
     A null text has no words, a null item no windows; an empty benchmark hits
-    nothing. Repeated documents each get their row if there is one shard and
-    equal rows count once otherwise; items that repeat a window all count.
+    nothing. Every row gets its own row, whatever its id and the number of
+    shards; items that repeat a window all count.
     Items without an id take part in the hits but not in the item columns.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    pieces = shards(benchmark, shard_bytes)
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    if len(pieces) > 1:  # all passes must see the same numbers
+        docs = materialize(docs, "decontaminate-rows")
 
     def search(part: DataFrame) -> DataFrame:
         tables = docs.sparkSession.sparkContext.broadcast(
             pattern_tables([(r.item_id, r.text) for r in part.toLocalIterator()], width)
         )
 
-        def run(ids, texts):
-            out = {"doc_id": ids, "n_words": [], "spans": [], "items": []}
+        def run(rows, ids, texts):
+            out = {"row": rows, "doc_id": ids, "n_words": [], "spans": [], "items": []}
             for t in texts:
                 found = words(t)
                 spans, items = scan(found, tables.value)
@@ -127,9 +131,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
                 out["items"].append(sorted(x for x in items if x is not None))
             return out
 
-        return map_columns(docs, ["doc_id", "text"], "doc_id long, n_words long, spans array<int>, items array<string>", run)
+        return map_columns(docs, ["row", "doc_id", "text"], "row long, doc_id long, n_words long, spans array<int>, items array<string>", run)
 
-    parts = [search(p) for p in shards(benchmark, shard_bytes)]
+    parts = [search(p) for p in pieces]
     hits = parts[0]
     if len(parts) > 1:
         every = parts[0]
@@ -137,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
             every = every.unionByName(p)
         hits = (
             materialize(every, "decontaminate")
-            .groupBy("doc_id", "n_words")
+            .groupBy("row", "doc_id", "n_words")
             .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         )
 
