@@ -310,6 +310,11 @@ def doc_list(spark, sf_dir):
     return d.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "lang", "n_chars")
 
 
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id")
+def doc_list_all(spark, sf_dir):
+    return read(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").select("doc_id", "lang", "n_chars")
+
+
 @query(r"""SELECT doc_id, CASE WHEN starts_with(f, '# ') THEN trim(substr(f, 3)) ELSE trim(regexp_replace(f, '#+$', '')) END AS title FROM (
   SELECT doc_id, coalesce(list_filter(list_transform(string_split(CASE WHEN doc_id % 2 = 0 THEN chr(10) || '# ' || text ELSE text END, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS f FROM documents)""")
 def doc_titles(spark, sf_dir):
@@ -999,6 +1004,12 @@ def version_order(spark, sf_dir):
     return p.orderBy(num.version_parts("version").desc(), "p_partkey").limit(60)
 
 
+@query("SELECT p_partkey, p_size || '.' || (p_partkey % 13) AS version FROM part ORDER BY p_size DESC, p_partkey % 13 DESC, p_partkey")
+def version_order_all(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 13).cast("string")).alias("version"))
+    return p.orderBy(num.version_parts("version").desc(), "p_partkey")
+
+
 @query("SELECT s_suppkey FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(min(s_name)) FROM supplier)")
 def reserved_names(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
