@@ -17,7 +17,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(fps):
+def plain_components(fps, bits=3):
     ids = sorted(fps)
     root = {i: i for i in ids}
 
@@ -28,7 +28,7 @@ def plain_components(fps):
 
     for i in ids:
         for j in ids:
-            if i < j and (fps[i] ^ fps[j]).bit_count() <= 3:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= bits:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: find(i) for i in ids}
@@ -53,13 +53,54 @@ def test_links_of_dense_segments_are_as_connected(spark):
     own = {i: f for i, f in enumerate(sorted(fps))}
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in own.items()], "fp long, node long")
     want = plain_components(own)
-    for dense, block in ((1000, 512), (1, 4), (3, 16)):
-        edges = simhash.links(nodes, dense=dense, block=block)
+    for dense in (1000, 1, 3):
+        edges = simhash.links(nodes, dense=dense)
         assert all((own[e.a] ^ own[e.b]).bit_count() <= 3 for e in edges.collect())
         got = {x.node: x.component for x in connected_components(edges).collect()}
         assert {i: got.get(i, i) for i in own} == want
 
 
+def test_every_distance_is_as_connected(spark):
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(3)]
+    own = dict(enumerate(sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 9))) for b in base for _ in range(60)})))
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in own.items()], "fp long, node long")
+    for bits in (0, 1, 2, 3):
+        got = {x.node: x.component for x in connected_components(simhash.links(nodes, max_bits=bits, dense=1)).collect()}
+        assert {i: got.get(i, i) for i in own} == plain_components(own, bits)
+
+
+def test_limit_of_dense_segments_changes_nothing(spark):
+    """One segment value with 48 holders and their partners; the limit below, at and above it."""
+    r = random.Random(8)
+    low = r.getrandbits(32)
+    fps = {r.getrandbits(32) << 32 | low for _ in range(40)}
+    while len(fps) < 48:
+        fps.add((r.choice(sorted(fps)) ^ sum(1 << b for b in r.sample(range(32, 64), r.randint(1, 3)))))
+    own = dict(enumerate(sorted(fps)))
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in own.items()], "fp long, node long")
+    for dense in (47, 48, 49):
+        got = {x.node: x.component for x in connected_components(simhash.links(nodes, dense=dense)).collect()}
+        assert {i: got.get(i, i) for i in own} == plain_components(own)
+
+
+def test_a_hot_group_of_near_copies(spark):
+    """50,000 fingerprints around one, and some that only a third bit joins: rows stay in proportion."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    fps = {base} | {base ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)}
+    while len(fps) < 50_000:
+        fps.add(base ^ sum(1 << b for b in r.sample(range(64), 3)) if len(fps) < 48_000 else r.getrandbits(32) << 32 | base & 0xFFFFFFFF)
+    own = dict(enumerate(sorted(fps)))
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in own.items()], "fp long, node long").repartition(8)
+    found = {x.node: x.component for x in connected_components(simhash.links(nodes)).collect()}
+    near = [i for i, f in own.items() if (f ^ base).bit_count() <= 3]
+    assert len(near) >= 48_000 and {found.get(i) for i in near} == {near[0]}
+    far = [i for i in own if found.get(i, i) != near[0]]
+    for i in far[:20]:  # no member is lost: what stays outside has no neighbour inside
+        assert all((own[i] ^ own[j]).bit_count() > 3 for j in own if j != i and found.get(j, j) != found.get(i, i))
+
+
 def test_long_chains_settle(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in connected_components(edges).collect()} == {0}

@@ -8,16 +8,21 @@ search in Hamming space with multi-index hashing", 2012). Only the flips from
 0 to 1 are enumerated, as the partner has the 1; the whole distance is then
 verified.
 
-A segment value held by more than ``dense`` fingerprints is not joined row by
-row: its members are cut into blocks and every pair of blocks is compared in
-an own task group, which returns a spanning forest of its links. So no group
-has more than two blocks and the output grows with the rows, not the pairs.
+A segment value that more than ``dense`` fingerprints hold is not joined row by
+row. Its members are linked over midpoints: all fingerprints within one bit of
+any 64-bit value are within two bits of each other, so a star joins them, and
+whoever is two bits from that value is within three of them all. Only members
+outside the largest part of their segment value look for the third bit. So a
+member has a fixed number of rows, 65 or 2081, however many share its segment,
+and every step is a join or a grouping of Spark. ``dense`` changes the work,
+not the components.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +67,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], "doc_id long, fp long", run)
 
 
-def links(nodes: DataFrame, max_bits: int = 3, dense: int = 48, block: int = 512) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 3, dense: int = 256) -> DataFrame:
     """Links ``(a, b)`` between nodes ``(fp, node)`` of distinct fingerprints.
 
     Complete up to connectivity: pairs in sparse segment values are all there,
-    those in dense ones are there or joined by a path of links.
+    those in dense ones are there or joined by a path of links, for any ``dense``.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one flipped bit find up to 3 differing bits")
@@ -76,48 +81,52 @@ def links(nodes: DataFrame, max_bits: int = 3, dense: int = 48, block: int = 512
     )
     bits = F.array(*(F.lit(1 << i).cast("long") for i in range(32)))
     flips = table.select("fp", "node", "seg", F.explode(F.transform(F.filter(bits, lambda b: F.col("key").bitwiseAND(b) == 0), lambda b: F.col("key").bitwiseOR(b))).alias("key"))
-    sizes = table.groupBy("seg", "key").agg(F.count("*").alias("n"))
+    hot = materialize(table.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("seg", "key"), "simhash-hot")
     probes = table.withColumn("own", F.lit(True)).unionByName(flips.withColumn("own", F.lit(False)))
 
     # Only segment values that hold something are worth a lookup.
-    there = table.join(sizes.where(F.col("n") <= dense), ["seg", "key"], "left_semi")
-    t, p = there.alias("t"), probes.alias("p")
+    t, p = table.join(hot, ["seg", "key"], "left_anti").alias("t"), probes.alias("p")
     near = F.bit_count(F.col("t.fp").bitwiseXOR(F.col("p.fp"))) <= max_bits
     sparse = t.join(
         p, (F.col("t.seg") == F.col("p.seg")) & (F.col("t.key") == F.col("p.key")) & near & ((~F.col("p.own") & (F.col("t.fp") != F.col("p.fp"))) | (F.col("t.fp") > F.col("p.fp")))
     ).select(F.col("t.node").alias("a"), F.col("p.node").alias("b"))
+    if hot.isEmpty():
+        return sparse
+    members = materialize(probes.join(hot, ["seg", "key"]).select("seg", "key", "fp", "node"), "simhash-members")
+    return sparse.unionByName(dense_links(members, max_bits))
 
-    hot = sizes.where(F.col("n") > dense)
-    sides = probes.join(hot, ["seg", "key"])
-    per = sides.groupBy("seg", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    cut = sides.drop("n").join(per, ["seg", "key"]).withColumn("part", F.pmod(F.xxhash64("fp", "own"), F.col("parts")).cast("int"))
-    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "seg", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp", "node", "part", "own"
-    )
 
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_forest(pdf["fp"].to_numpy(), pdf["node"].to_numpy(), max_bits), columns=["a", "b"])
+def ring(nodes: DataFrame, bits: int) -> DataFrame:
+    """``(z, node)``: each 64-bit value that differs from a node's ``fp`` in ``bits`` bits."""
+    out = nodes.select(F.col("fp").alias("z"), "node", F.lit(0).alias("low"))
+    for _ in range(bits):
+        out = out.where("low < 64").select("z", "node", F.explode(F.sequence("low", F.lit(63))).alias("bit"))
+        out = out.select(F.expr("z ^ shiftleft(1L, bit)").alias("z"), "node", (F.col("bit") + 1).alias("low"))
+    return out.select("z", "node")
 
-    packed = pairs.groupBy("seg", "key", "i", "j").applyInPandas(forest, "a long, b long")
-    return sparse.unionByName(packed)
 
+def dense_links(members: DataFrame, max_bits: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all members ``(seg, key, fp, node)`` within ``max_bits`` bits of each other.
 
-def _forest(fp: np.ndarray, node: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among some fingerprints, by breadth first."""
-    fp, at = np.unique(fp.astype(np.int64), return_index=True)
-    node, bits = node[at], fp.view(np.uint64)
-    left, out = np.ones(len(fp), dtype=bool), []
-    while left.any():
-        queue = [int(np.argmax(left))]
-        left[queue[0]] = False
-        while queue:
-            x = queue.pop()
-            rest = np.flatnonzero(left)
-            found = rest[np.bitwise_count(bits[rest] ^ bits[x]) <= max_bits]
-            left[found] = False
-            out += [(int(node[x]), int(node[y])) for y in found]
-            queue += found.tolist()
-    return out
+    Every link is within ``max_bits`` bits; a group of one midpoint has at most 65 nodes.
+    """
+    half, odd = divmod(max_bits, 2)
+    nodes = materialize(members.select("fp", "node").distinct(), "simhash-dense")
+    ball = reduce(DataFrame.unionByName, (ring(nodes, i) for i in range(half + 1)))
+    stars = ball.groupBy("z").agg(F.min("node").alias("a"), F.collect_list("node").alias("all")).where(F.size("all") > 1)
+    out = materialize(stars.select("a", F.explode("all").alias("b")).where("a <> b").distinct(), "simhash-stars")
+    if not odd:
+        return out
+    close = connected_components(out, "simhash-close")
+    placed = materialize(members.join(close, "node", "left").withColumn("component", F.coalesce("component", "node")), "simhash-placed")
+    parts = placed.groupBy("seg", "key", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("seg", "key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside = placed.join(main, ["seg", "key"]).where("component <> main").select("fp", "node").distinct()
+    outside = materialize(outside, "simhash-outside")
+    first = ball.groupBy("z").agg(F.min("node").alias("a"))
+    # Both sides hold many times the rows of the files they are read from, so neither may be broadcast on those files' size.
+    more = ring(outside, half + 1).hint("merge").join(first, "z").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return out.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,8 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text has no words; texts without words share the fingerprint 0 and
     link like any other. A repeated row comes back as often as it came. A row
-    without an id keeps a null id and joins no group that has one. An empty
-    table gives no rows.
+    without an id keeps a null id and joins no group that has one. Very long
+    texts are hashed whole, in pieces of 8192 shingles. Ties in a bit's majority
+    leave it 0. Other columns of ``docs`` aren't read. An empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
     nodes = materialize(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
