@@ -40,7 +40,7 @@ def test_against_brute_force(spark, sf_dir, documents, texts):
     want = plain(texts, [(r.item_id, r.text) for r in bench.collect()])
     assert values(dc.decontaminate(documents, bench)) == want
     assert sum(w[4] for w in want.values()) > 0
-    assert values(dc.decontaminate(documents, bench, shard_bytes=2000)) == want
+    assert values(dc.decontaminate(documents, bench, shard_words=1000)) == want
 
 
 def test_short_repeated_and_overlapping_items(spark):
@@ -52,8 +52,8 @@ def test_short_repeated_and_overlapping_items(spark):
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     want = plain(docs, items)
     assert values(dc.decontaminate(d, b)) == want
-    assert values(dc.decontaminate(d, b, shard_bytes=20)) == want
-    assert {x.doc_id for x in dc.keep_clean(d, b).collect()} == {x.doc_id for x in dc.keep_clean(d, b, shard_bytes=20).collect()} == {i for i, w in want.items() if not w[4]}
+    assert values(dc.decontaminate(d, b, shard_words=30)) == want
+    assert {x.doc_id for x in dc.keep_clean(d, b).collect()} == {x.doc_id for x in dc.keep_clean(d, b, shard_words=30).collect()} == {i for i, w in want.items() if not w[4]}
 
 
 def test_edges(spark, edge, nothing):
