@@ -5,16 +5,19 @@ field over its tags (outside; begin and inside of each kind). It is trained in
 numpy, by backpropagation through time, on labelled spans that
 ``labelled_windows`` makes from a seed, so it is the same for any corpus.
 
-A span of any kind holds a digit or an ``@``, so only the text within
-``REACH`` characters of one is decoded; the rest is outside by definition.
-Such a stretch is cut into windows of ``WINDOW`` characters that overlap by
-half. Each is decoded by Viterbi, and the windows are reconciled over the whole
-stretch: a character takes its tag from the window in which it lies furthest
-from an edge, and a span that an edge cuts is taken from the window that holds
-it whole.
-
-Spans of the patterns always stay; spans of the model that touch none of them
-are added under the kinds ``model_email``, ``model_ip`` and so on.
+A span of any kind holds a digit or an ``@``, so only the text within ``REACH``
+characters of one, to the ends of the words there, is looked at first; the rest is outside by definition. Such a
+stretch is cut into windows of ``DECODE`` characters that overlap by half. Each
+window gives scores; a character takes those of the window in which it lies
+furthest from an edge, and one Viterbi search with the transitions decodes the
+whole stretch, so a span may be longer than any window. A stretch at whose edge
+a span is open is widened by as much again and decoded anew, until no span
+touches an edge inside the text. Where the search begins or ends a span within a
+word, the span takes the whole word (``grown``).
+
+Spans of the patterns always stay; spans of the model that touch none of them,
+and that hold what their kind has by definition (``valid``, so that no number
+which fails Luhn's check is masked as a card), are added under the kinds ``model_email``, ``model_ip`` and so on.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_columns, slices
-from tidewell.llm.crf import chain_gradient, viterbi
+from tidewell.llm.crf import chain_gradient, surely_outside
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -40,8 +43,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-WINDOW, REACH = 64, 24
-TRIGGER = re.compile(r"[0-9@]")
+#: Characters of a window in training and in decoding, and around a digit or ``@``.
+WINDOW, DECODE, REACH = 64, 128, 24
+TRIGGER, SPACE = re.compile(r"[0-9@]"), re.compile(r"[ \n]")
 
 
 def luhn(digits: str) -> bool:
@@ -100,7 +104,7 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             lambda: some(digits, 1, 8), lambda: f"{r.randint(1900, 2035)}-{r.randint(1, 12):02}-{r.randint(1, 31):02}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}",
             lambda: some("0123456789abcdef", 20, 40), lambda: f"${r.randint(1, 99999)}.{r.randint(0, 99):02}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 30)}",
             lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: some(letters, 2, 6) + some(digits, 1, 4), lambda: f"{r.randint(1, 99)}%", lambda: "@" + some(letters, 3, 8),
-            lambda: f"§{r.randint(1, 99)}", lambda: f"{r.randint(1, 999)},{r.randint(0, 999):03}", lambda: "AKIA" + some(letters.upper() + digits, 16, 16), lambda: some(digits, 9, 15), lambda: f"{some(letters, 3, 6)} @ {some(digits, 1, 3)}",
+            lambda: f"§{r.randint(1, 99)}", lambda: f"{r.randint(1, 999)},{r.randint(0, 999):03}", lambda: "AKIA" + some(letters.upper() + digits, 16, 16), lambda: f"{some(letters, 3, 6)} @ {some(digits, 1, 3)}",
         ])()
 
     def card() -> str:
@@ -114,6 +118,8 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         if kind == 0:
             name = some(letters, 2, 8) + r.choice(["", ".", "_"]) + some(letters + digits, 1, 6)
             host = r.choice([some(letters, 3, 8), "mail" + some(digits, 1, 1) + ".example"]) + "." + r.choice(["com", "org", "net", "de", "fr"])
+            if r.random() < 0.2:  # long ones, beyond what half a window holds
+                name = r.choice("._-").join(some(letters, 3, 12) for _ in range(r.randint(2, 5)))
             return kind, r.choice(["{}@{}", "{}@{}", "{}@{}", "{}@ {}", "{} @{}"]).format(name, host)
         if kind == 1:
             return kind, ".".join(str(r.randint(0, 255)) for _ in range(4))
@@ -125,15 +131,12 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.zeros((n, WINDOW), dtype=np.int64), np.zeros((n, WINDOW), dtype=np.int64)
     for i in range(n):
         text, tags = "", []
-        while len(text) < WINDOW + 40:
+        while len(text) < WINDOW + 80:
             kind, piece = personal() if r.random() < 0.14 else (-1, plain() if r.random() < 0.15 else word())
             text += piece + r.choice([" ", " ", " ", " ", "\n", "###" if kind >= 0 else " "])
             tags += ([1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1) if kind >= 0 else [0] * len(piece)) + [0] * (len(text) - len(tags) - len(piece))
-        cut = r.randint(0, 40)
+        cut = r.randint(0, 60)
         part, own = text[cut : cut + WINDOW], tags[cut : cut + WINDOW]
-        for j in range(WINDOW):  # a span whose beginning is outside can't be told
-            if own[j] and own[j] % 2 == 0 and (j == 0 or own[j - 1] == 0):
-                own[j] = 0
         x[i], y[i] = codes(part), own
     return x, y
 
@@ -245,84 +248,168 @@ def fit(windows: int = 6000, rounds: int = 700, hidden: int = 16, batch: int = 6
 # ---- whole texts -------------------------------------------------------------
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged surroundings of all digits and ``@``."""
+def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of the parts that meet, in order."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, z = max(m.start() - REACH, 0), min(m.end() + REACH, len(text))
+    for a, z in sorted(parts):
         if out and a <= out[-1][1]:
-            out[-1][1] = z
+            out[-1][1] = max(out[-1][1], z)
         else:
             out.append([a, z])
     return [(a, z) for a, z in out]
 
 
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Merged surroundings of all digits and ``@``, to the ends of their words."""
+    out: list[tuple[int, int]] = []
+    done = 0  # each character is looked at once
+    for a, z in merged([(max(m.start() - REACH, 0), min(m.end() + REACH, len(text))) for m in TRIGGER.finditer(text)]):
+        if z > done:
+            a = max(text.rfind(" ", done, max(a, done)), text.rfind("\n", done, max(a, done)), done - 1) + 1
+            space = SPACE.search(text, z)
+            done = space.start() if space else len(text)
+            out.append((a, done))
+    return merged(out)
+
+
 def cut(a: int, z: int) -> list[int]:
     """Starts of the windows over one stretch, overlapping by half."""
-    last = max(z - WINDOW, a)
-    return sorted({*range(a, last, WINDOW // 2), last})
-
-
-def reconcile(starts: list[int], tags: np.ndarray, n: int) -> list[tuple[str, int, int]]:
-    """Spans of one stretch out of its windows' tags; places count from its start."""
-    found: dict[tuple[str, int, int], int] = {}
-    for start, own in zip(starts, tags, strict=True):
-        i = 0
-        while i < len(own):
-            if own[i] == 0 or start + i >= n:
-                i += 1
-                continue
-            kind, j = (int(own[i]) - 1) // 2, i + 1
-            while j < len(own) and start + j < n and own[j] == 2 + 2 * kind:
-                j += 1
-            open_left, open_right = i == 0 and start > 0, j == len(own) and start + j < n
-            if not (open_left or open_right):  # the window holds it whole
-                edge = min(i, len(own) - j)
-                key = (KINDS[kind], start + i, start + j)
-                found[key] = max(found.get(key, -1), edge)
-            i = j
-    out: list[tuple[str, int, int]] = []
-    for (kind, a, z), _ in sorted(found.items(), key=lambda f: (-f[1], f[0][1])):
-        if all(z <= b or y <= a for _, b, y in out):
-            out.append((kind, a, z))
+    last = max(z - DECODE, a)
+    return sorted({*range(a, last, DECODE // 2), last})
+
+
+def window_scores(p: dict, texts: list[str], jobs: list[tuple[int, int, int]], batch: int = 256) -> list[np.ndarray]:
+    """Scores of every character of each stretch ``(text, start, end)``; windows of all texts share batches."""
+    flat = [(i, s) for i, a, z in jobs for s in cut(a, z)]
+    scores = np.zeros((len(flat), DECODE, len(p["bias"])), dtype=np.float32)
+    for at in range(0, len(flat), batch):
+        part = flat[at : at + batch]
+        x = np.full((len(part), DECODE), 10, dtype=np.int64)  # past the end: line breaks
+        for row, (i, s) in enumerate(part):
+            c = codes(texts[i][s : s + DECODE])
+            x[row, : len(c)] = c
+        scores[at : at + len(part)] = forward(p, x)[0]
+    out, at = [], 0
+    for _, a, z in jobs:
+        starts = np.array(cut(a, z))
+        place = np.arange(a, z)
+        # The window whose middle is nearest; of equals the earlier.
+        best = np.zeros(z - a, dtype=np.int64)
+        if len(starts) > 1:
+            best = np.searchsorted((starts[:-1] + starts[1:] + DECODE - 1) / 2, place, "left")
+        out.append(scores[at + best, place - starts[best]])
+        at += len(starts)
+    return out
+
+
+def best_tags(scores: list[np.ndarray], moves: np.ndarray, batch: int = 512) -> list[np.ndarray]:
+    """Viterbi tags of sequences of any length; places that are surely outside split them, which is exact."""
+    tags = [np.zeros(len(s), dtype=np.int8) for s in scores]
+    runs = []
+    for i, s in enumerate(scores):
+        open_ = np.flatnonzero(~surely_outside(s, moves))
+        if len(open_):
+            runs += [(i, int(r[0]), int(r[-1]) + 1) for r in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1)]
+    runs.sort(key=lambda r: r[2] - r[1])
+    for at in range(0, len(runs), batch):
+        part = runs[at : at + batch]
+        t = part[-1][2] - part[-1][1] + 2
+        x = np.full((len(part), t, scores[0].shape[1]), -1e9)
+        x[:, :, 0] = 0  # sure neighbours, and what is past the end, are outside
+        lead = []
+        for row, (i, a, z) in enumerate(part):
+            lead.append(int(a > 0))
+            x[row, lead[-1] : lead[-1] + z - a] = scores[i][a:z]
+            if z == len(scores[i]):  # nothing follows: no move is paid
+                x[row, lead[-1] + z - a :] = 0
+        found = _viterbi_ends(x, moves, [k + z - a + (z < len(scores[i])) for k, (i, a, z) in zip(lead, part, strict=True)])
+        for row, (i, a, z) in enumerate(part):
+            tags[i][a:z] = found[row, lead[row] : lead[row] + z - a]
+    return tags
+
+
+def _viterbi_ends(scores: np.ndarray, moves: np.ndarray, ends: list[int]) -> np.ndarray:
+    """As ``viterbi``, for sequences that end at different places."""
+    b, t, k = scores.shape
+    end = np.array(ends)
+    best, frm = scores[:, 0], np.zeros((b, t, k), dtype=np.int8)
+    own = np.arange(k, dtype=np.int8)
+    for i in range(1, t):
+        step = best[:, :, None] + moves
+        on = (i < end)[:, None]
+        frm[:, i] = np.where(on, step.argmax(axis=1), own)
+        best = np.where(on, step.max(axis=1) + scores[:, i], best)
+    out = np.zeros((b, t), dtype=np.int64)
+    out[:, -1] = best.argmax(axis=1)
+    for i in range(t - 1, 0, -1):
+        out[:, i - 1] = frm[np.arange(b), i, out[:, i]]
+    return out
+
+
+def tagged(tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Spans of a sequence of tags."""
+    out, i = [], 0
+    inside = np.flatnonzero(tags).tolist()
+    for at in inside:
+        if at < i:
+            continue
+        kind, j = (int(tags[at]) - 1) // 2, at + 1
+        while j < len(tags) and tags[j] == 2 + 2 * kind:
+            j += 1
+        out.append((KINDS[kind], at, j))
+        i = j
     return out
 
 
-def plausible(kind: str, part: str) -> bool:
-    """What any span of the kind has, however it is written."""
-    digits = sum(c.isdigit() for c in part)
+def valid(kind: str, part: str) -> bool:
+    """What any span of the kind has by definition, however it is written; checked after decoding."""
+    digits = "".join(c for c in part if c in "0123456789")
     if kind == "email":
         return "@" in part and "." in part.split("@")[-1]
     if kind == "ip":
-        return digits >= 4 and part.count(".") == 3
+        return len(digits) >= 4 and part.count(".") == 3
     if kind == "card":
-        return 13 <= digits <= 19 and luhn("".join(c for c in part if c in "0123456789"))
-    return 9 <= digits <= 15
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15
 
 
-def model_spans(p: dict, texts: list[str], batch: int = 256) -> list[list[tuple[str, int, int]]]:
-    """Reconciled spans of each text; the windows of all texts share batches."""
-    jobs = [(i, a, z, cut(a, z)) for i, t in enumerate(texts) for a, z in stretches(t)]
-    flat = [(i, s) for i, a, z, starts in jobs for s in starts]
-    tags = np.zeros((len(flat), WINDOW), dtype=np.int8)
-    moves = p["moves"]
-    for at in range(0, len(flat), batch):
-        part = flat[at : at + batch]
-        x = np.full((len(part), WINDOW), 10, dtype=np.int64)  # past the end: line breaks
-        for row, (i, s) in enumerate(part):
-            c = codes(texts[i][s : s + WINDOW])
-            x[row, : len(c)] = c
-        tags[at : at + len(part)] = viterbi(forward(p, x)[0], moves)
+def grown(text: str, kind: str, a: int, z: int) -> tuple[str, int, int]:
+    """The span without a cut in a word: an address takes all characters of a local part before it, a number all its digits."""
+    inside = LOCAL if kind == "email" else frozenset("0123456789")
+    while a > 0 and text[a] in inside and text[a - 1] in inside:
+        a -= 1
+    while z < len(text) and text[z - 1].isalnum() and text[z].isalnum() and (kind == "email" or text[z] in inside):
+        z += 1
+    return kind, a, z
+
+
+def model_spans(p: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text that the model tags."""
     out: list[list] = [[] for _ in texts]
-    at = 0
-    for i, a, z, starts in jobs:
-        own = tags[at : at + len(starts)]
-        at += len(starts)
-        if own.any():
-            for kind, b, y in reconcile([s - a for s in starts], own, z - a):
-                if plausible(kind, texts[i][a + b : a + y]):
-                    out[i].append((kind, a + b, a + y))
-    return out
+    jobs = [(i, a, z) for i, t in enumerate(texts) for a, z in stretches(t)]
+    reach = REACH
+    while jobs:
+        wider: dict[int, list] = {}
+        for (i, a, z), tags in zip(jobs, best_tags(window_scores(p, texts, jobs), p["moves"]), strict=True):
+            spans = tagged(tags)
+            left, right = bool(spans) and spans[0][1] == 0 and a > 0, bool(spans) and spans[-1][2] == z - a and z < len(texts[i])
+            if left or right:
+                wider.setdefault(i, []).append((max(a - reach * left, 0), min(z + reach * right, len(texts[i]))))
+            else:
+                whole = (grown(texts[i], k, a + b, a + y) for k, b, y in spans)
+                out[i] += [(k, b, y) for k, b, y in whole if valid(k, texts[i][b:y])]
+        reach *= 2
+        jobs = [(i, a, z) for i, own in wider.items() for a, z in merged(own)]
+    return [apart(spans) for spans in out]
+
+
+def apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Without those that a longer one overlaps, as widened stretches may meet others."""
+    out: list[tuple[str, int, int]] = []
+    for s in sorted(set(spans), key=lambda s: (s[1] - s[2], s[1], s[0])):
+        if all(s[2] <= b or y <= s[1] for _, b, y in out):
+            out.append(s)
+    return sorted(out, key=lambda s: s[1:])
 
 
 def all_spans(p: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -352,7 +439,9 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``, one row per input row.
 
-    The counts and the digest are of the patterns alone. A null text is empty.
+    The counts and the digest are of the patterns alone. A null text is empty,
+    a very long one is scanned whole. Repeated rows come back alike, rows without
+    an id, too; other columns aren't read. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(fit())
 
@@ -373,7 +462,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked in ``text`` and ``n_chars`` counted anew; null texts stay."""
+    """``docs`` with personal data masked in ``text`` and ``n_chars`` counted anew.
+
+    Null texts stay null, and all other columns and rows, repeated ones too, as they were.
+    """
     held = docs.sparkSession.sparkContext.broadcast(fit())
 
     def run(batches):
