@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +91,8 @@ def connection_changed(before: pd.Series, after: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def api_base_url(spec: pd.Series) -> pd.Series:
     return spec.map(lambda s: base_url(v) if isinstance(v := _load(s), dict) else None)
+
+
+def with_default(text: Column, path: str, default: str) -> Column:
+    """Value at a path of a JSON text, or the default where it is missing or null."""
+    return F.coalesce(F.get_json_object(text, path), F.lit(default))

@@ -35,6 +35,11 @@ def contains_all_literal(haystack: Column, needle: str) -> Column:
     return F.contains(haystack, F.lit(needle))
 
 
+def fold_ascii_text(s: str) -> str:
+    """A-Z to a-z, all else as it is."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
 def like_ascii(x: Column | str, pattern: str) -> Column:
     """Substring match with live ``%`` and ``_`` that folds ASCII case only.
 
@@ -127,30 +132,56 @@ def normalize_package(raw: Column | str) -> Column:
 
 def package_of_command(command: Column | str, args: Column | str) -> Column:
     """Package that a runner starts: ``npx`` takes what follows ``--`` or the first
-    argument that is no flag; ``uvx`` prefers ``--from``. Null for other runners."""
+    argument that is no flag; ``uvx`` prefers ``--from``, the last of several. Null for other runners."""
     c, a = col(command), col(args)
     bare = F.filter(a, lambda x: ~x.startswith("-"))
     dash = F.array_position(a, "--")
     plain_at = F.array_position(F.transform(a, lambda x: ~x.startswith("-")), F.lit(True))
     npx = F.when((dash > 0) & ((plain_at == 0) | (dash < plain_at)), F.try_element_at(a, (dash + 1).cast("int"))).otherwise(F.try_element_at(bare, F.lit(1)))
-    from_ = F.array_position(a, "--from")
-    joined = F.try_element_at(F.filter(a, lambda x: x.startswith("--from=")), F.lit(-1))
-    named = F.when(from_ > 0, F.try_element_at(a, (from_ + 1).cast("int")))
-    value = F.when(from_ > 0, F.array_position(a, named)).otherwise(F.lit(0))
-    free = F.filter(a, lambda x, i: ~x.startswith("-") & ((value == 0) | (i + 1 != value)))
-    uvx = F.coalesce(F.when(joined.isNotNull() & named.isNull(), F.substring(joined, 8, 1 << 30)), named, F.try_element_at(free, F.lit(1)))
-    return normalize_package(F.when(c == "npx", npx).when(c == "uvx", uvx))
+
+    def state(takes, named, free) -> Column:
+        return F.struct(takes.alias("takes"), named.alias("named"), free.alias("free"))
+
+    def step(s: Column, x: Column) -> Column:
+        no = F.lit(False)
+        return (
+            F.when(s["takes"], state(no, x, s["free"])).when(x == "--from", state(F.lit(True), s["named"], s["free"]))
+            .when(x.startswith("--from="), state(no, F.substring(x, 8, 1 << 30), s["free"])).when(x.startswith("-"), s)
+            .otherwise(state(no, s["named"], F.coalesce(s["free"], x)))
+        )
+
+    none = F.lit(None).cast("string")
+    read = F.aggregate(a, state(F.lit(False), none, none), step)
+    return normalize_package(F.when(c == "npx", npx).when(c == "uvx", F.coalesce(read["named"], read["free"])))
+
+
+#: Largest number that counts as one.
+MOST = 2**64 - 1
+
+
+def whole_number(x: Column) -> Column:
+    """Digits as a decimal, null where they make a number over ``MOST``."""
+    n = F.ltrim(x, F.lit("0"))
+    n = F.when(F.length(n) <= 20, F.when(n == "", "0").otherwise(n).try_cast("decimal(21,0)"))
+    return F.when(n <= F.lit(str(MOST)).cast("decimal(21,0)"), n)
 
 
 def progress_pct(line: Column | str) -> Column:
-    """First ``N%`` or ``a/b`` of a line as 0 to 100, null without one."""
+    """First ``N%`` or ``a/b`` of a line as 0 to 100, null without one.
+
+    A number that is too long ends the search, so a line with one before or in
+    the first match has none.
+    """
     t = col(line)
-    found = F.regexp_extract_all(t, F.lit(r"\d+ *(?:%|/ *0*[1-9]\d*)"), F.lit(0))
-    first = F.try_element_at(found, F.lit(1))
-    num = F.regexp_extract(first, r"^(\d+)", 1).cast("bigint")
-    total = F.nullif(F.regexp_extract(first, r"/ *(\d+)$", 1), F.lit("")).cast("bigint")
-    pct = F.when(total.isNull(), num).otherwise(F.floor(num * 100 / total))
-    return F.when(first.isNotNull(), F.least(F.lit(100), pct)).cast("int")
+    found = r"^(?s)(.*?\d+) *(%|/ *0*[1-9]\d*)"
+    before, after = F.regexp_extract(t, found, 1), F.regexp_extract(t, found, 2)
+    num = whole_number(F.regexp_extract(before, r"(\d+)$", 1))
+    total = whole_number(F.regexp_extract(after, r"(\d+)$", 1))
+    short = ~F.exists(F.regexp_extract_all(before, F.lit(r"\d+"), F.lit(0)), lambda x: whole_number(x).isNull())
+    # Below the total, a hundred times the number is divided without a rest, so nothing rounds up.
+    part = F.when(num >= total, 100).otherwise(F.floor((num * 100 - F.pmod(num * 100, total)) / total))
+    pct = F.when(after == "%", F.least(num, F.lit(100).cast("decimal(21,0)")).cast("int")).when(total.isNotNull(), part.cast("int"))
+    return F.when((after != "") & short, pct)
 
 
 def looks_like_download(line: Column | str) -> Column:
@@ -160,12 +191,12 @@ def looks_like_download(line: Column | str) -> Column:
 
 
 def body_limit(x: Column | str, default: int = 1 << 20) -> Column:
-    """Bytes of ``1mb``, ``512kb``, ``10b`` or ``123``."""
+    """Bytes of ``1mb``, ``512kb``, ``10b`` or ``123``; the default for anything else, numbers that are too long among it."""
     t = F.lower(strip(x))
-    n = F.nullif(F.regexp_extract(t, r"^\+?(\d+)\s*(?:mb|kb|b)$|^\+?(\d+)$", 1), F.lit(""))
-    plain = F.nullif(F.regexp_extract(t, r"^\+?(\d+)$", 1), F.lit(""))
+    n = F.regexp_extract(t, r"^\+?(\d+)\s*(?:mb|kb|b)?$", 1).try_cast("bigint")
+    n = F.when(t.rlike(r"^\+?\d+$") | t.rlike(r"^\+?\d+\s*(mb|kb|b)$"), n)
     unit = F.when(F.endswith(t, F.lit("mb")), 1 << 20).when(F.endswith(t, F.lit("kb")), 1 << 10).otherwise(1)
-    return F.coalesce(n.cast("bigint") * unit, plain.cast("bigint"), F.lit(default)).cast("bigint")
+    return F.coalesce(F.try_multiply(n, unit.cast("bigint")), F.lit(default)).cast("bigint")
 
 
 def format_size(n: Column | str) -> Column:

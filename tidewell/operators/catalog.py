@@ -5,24 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import strip
+from tidewell.functions.text import fold_ascii, fold_ascii_text, redact_env, strip
+from tidewell.plans.mutations import insert_missing
 
 
-def holds(query: str, *columns: str) -> Column:
-    """Whether a trimmed, lower-cased query is in one of the columns; an empty one is in all."""
-    q = query.strip().lower()
+def holds(query: str, *columns: str, trim: bool = True) -> Column:
+    """Whether a lower-cased query, trimmed or as it is, is in one of the columns; an empty one is in all."""
+    q = (query.strip() if trim else query).lower()
     out = F.lit(not q)
     for c in columns:
         out = out | F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False))
     return out
 
 
-def search(items: DataFrame, query: str = "", category: str | None = None, tag: str | None = None) -> DataFrame:
-    """Items by text in name, display name or description, and exact category and tag."""
-    out = items.where(holds(query, "name", "display_name", "description")) if query else items
-    if category is not None:
+def search(items: DataFrame, query: str | None = None, category: str | None = None, tag: str | None = None) -> DataFrame:
+    """Items by text in name, display name or description, and exact category and tag.
+
+    The query counts with its blanks; what is empty or None filters nothing.
+    """
+    out = items.where(holds(query, "name", "display_name", "description", trim=False)) if query else items
+    if category:
         out = out.where(F.array_contains("categories", category))
-    return out if tag is None else out.where(F.array_contains("tags", tag))
+    return out.where(F.array_contains("tags", tag)) if tag else out
+
+
+def cloud_search(servers: DataFrame, query: str | None = None) -> DataFrame:
+    """Listed servers with the query, as it is but for case, in name or description."""
+    return servers.where(holds(query or "", "name", "description", trim=False))
+
+
+def of_type(servers: DataFrame, which: str = "custom") -> DataFrame:
+    """``custom`` hides builtin servers, a server without a type is custom; ``builtin`` shows only them, ``all`` both."""
+    builtin = F.coalesce(F.col("server_type") == "builtin", F.lit(False))
+    return servers if which == "all" else servers.where(builtin if which == "builtin" else ~builtin)
+
+
+def without_reserved(servers: DataFrame, reserved: list[str], column: str = "name") -> DataFrame:
+    """Servers whose name isn't reserved; case within ASCII doesn't count."""
+    return servers.where(~fold_ascii(column).isin([fold_ascii_text(r) for r in reserved]))
+
+
+def export_entry(name: Column, env: Column) -> Column:
+    """A server as JSON for an export, secrets of its environment masked."""
+    return F.to_json(F.struct(name.alias("name"), redact_env(env).alias("env")))
+
+
+def import_new(before: DataFrame, entries: DataFrame, on: list[str], allowed: list[str] | None = None, column: str = "entry") -> DataFrame:
+    """The table after an import: entries with a known key, or with map keys that aren't allowed, are passed by."""
+    if allowed is not None:
+        entries = unknown_keys(entries, allowed, column).where(F.coalesce(F.size("unknown"), F.lit(0)) == 0).drop("unknown")
+    return insert_missing(before, entries.select(*before.columns), on)
 
 
 def facet_values(items: DataFrame, column: str) -> DataFrame:

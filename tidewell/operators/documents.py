@@ -75,9 +75,19 @@ def running_progress(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("done", F.least(F.sum(n).over(w), F.max("total_chars").over(total)))
 
 
-def list_docs(docs: DataFrame) -> DataFrame:
-    """Newest first."""
-    return docs.orderBy(F.desc("uploaded_at"), "id")
+def list_docs(docs: DataFrame, query: str = "", newest: str = "uploaded_at", key: str = "id", name: str = "name") -> DataFrame:
+    """Newest first; with a query, those that have it in their name."""
+    found = docs.where(F.contains(F.lower(name), F.lit(query.strip().lower()))) if query.strip() else docs
+    return found.orderBy(F.desc(newest), key)
+
+
+#: Bytes that an upload may have.
+MAX_UPLOAD = 64 << 20
+
+
+def too_large(text: Column, most: int = MAX_UPLOAD) -> Column:
+    """Whether a text has more bytes than an upload may have."""
+    return F.octet_length(text) > most
 
 
 def type_labels(docs: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.catalog import apply_overrides, shape_for_protocol
+
 
 def server_names(servers: Column) -> Column:
     """Names in a variant array whose elements are strings or objects with a name; others drop out."""
@@ -77,6 +79,30 @@ def listed_tools(filters: DataFrame, tools: DataFrame, separator: str = "-") ->
     return out.select("server_name", "name", exposed.alias("exposed_name"), F.coalesce("description", F.lit("")).alias("description"))
 
 
+def tools_list(
+    filters: DataFrame, tools: DataFrame, allowed: DataFrame | None = None, overrides: DataFrame | None = None, version: str = "2025-06-18", separator: str = "-"
+) -> DataFrame:
+    """What a caller is shown of its scope, one row a tool.
+
+    The servers in scope that its key may use, the tools as their overrides say,
+    switched on and allowed by the group, named with the server before where
+    there are several, in the form that the protocol version knows. ``tools``
+    (server_name, name, description, enabled, and as far as there are,
+    input_schema, annotations, output_schema).
+    """
+    filters = restrict(filters, allowed)
+    if overrides is not None:
+        tools = apply_overrides(tools, overrides)
+    more = [c for c in ("input_schema", "annotations", "output_schema") if c in tools.columns]
+    shown = listed_tools(filters, tools, separator).join(tools.select("server_name", "name", *more), ["server_name", "name"]) if more else listed_tools(filters, tools, separator)
+    return shape_for_protocol(shown, version)
+
+
+def servers_of_groups(groups: DataFrame) -> DataFrame:
+    """``(name, server)`` of each group ``(name, servers)`` and member, each once."""
+    return groups.select("name", F.explode("servers").alias("server")).distinct()
+
+
 def route(calls: DataFrame, filters: DataFrame, tools: DataFrame, separator: str = "-") -> DataFrame:
     """``(call_id, tool_name, server_name, name)``: where each call goes, null if nowhere.
 

@@ -40,8 +40,8 @@ def export_plan(skill_ids: list[str], agent_ids: list[str], skills: DataFrame, a
     return asked.join(skills.select(F.col("id").alias("skill_id"), "dir_name"), "skill_id").join(agents.select(F.col("id").alias("agent_id"), "path"), "agent_id")
 
 
-def numbered_slugs(df: DataFrame, name: str = "name") -> DataFrame:
-    """``slug`` of each row; the n-th of equal ones in name order gets ``-n``."""
+def numbered_slugs(df: DataFrame, name: str = "name", order: str | None = None) -> DataFrame:
+    """``slug`` of each row; the n-th of equal ones, by name or another column, gets ``-n``."""
     base = slugify(name)
-    n = F.row_number().over(Window.partitionBy(base).orderBy(name))
+    n = F.row_number().over(Window.partitionBy(base).orderBy(order or name))
     return df.withColumn("n", n).withColumn("slug", F.when(F.col("n") == 1, base).otherwise(F.concat(base, F.lit("-"), F.col("n").cast("string")))).drop("n")

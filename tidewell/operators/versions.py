@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.numbers import is_newer
+from tidewell.functions.numbers import is_newer, version_parts
+
+
+def newest_first(rows: DataFrame, version: str = "version", key: str = "id") -> DataFrame:
+    """All rows, the highest version first; equal ones by key."""
+    return rows.orderBy(version_parts(version).desc(), key)
 
 
 def latest_per_major(releases: DataFrame, n: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import json as js
 from tidewell.functions import numbers as num
 from tidewell.functions import text as txt
 from tidewell.operators import activity, catalog, cost, documents, scope, search, skills, versions
@@ -312,7 +313,13 @@ def doc_list(spark, sf_dir):
 
 @query("SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id")
 def doc_list_all(spark, sf_dir):
-    return read(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").select("doc_id", "lang", "n_chars")
+    return documents.list_docs(read(spark, sf_dir, "documents"), newest="n_chars", key="doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower('Doc-' || doc_id), 'c-1') ORDER BY n_chars DESC, doc_id")
+def doc_list_query(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("Doc-"), F.col("doc_id").cast("string")))
+    return documents.list_docs(d, " C-1 ", newest="n_chars", key="doc_id").select("doc_id", "lang", "n_chars")
 
 
 @query(r"""SELECT doc_id, CASE WHEN starts_with(f, '# ') THEN trim(substr(f, 3)) ELSE trim(regexp_replace(f, '#+$', '')) END AS title FROM (
@@ -425,6 +432,43 @@ def patch_columns(spark, sf_dir):
     return mutations.patch_columns(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ch, ["doc_id"], ["lang", "source"])
 
 
+@query("""SELECT k AS doc_id, coalesce(d.lang, 'new') AS lang, CASE WHEN c.k2 IS NOT NULL THEN note ELSE d.source END AS source FROM documents d
+  FULL JOIN (SELECT DISTINCT doc_id * 3 AS k2, 'n' || doc_id AS note FROM labels) c ON d.doc_id = c.k2, LATERAL (SELECT coalesce(d.doc_id, c.k2) AS k)""")
+def set_or_insert(spark, sf_dir):
+    l = read(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("source"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return mutations.set_or_insert(d, l.unionByName(l), ["doc_id"], "source", {"lang": "new"})
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'z' || l.n END AS lang FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS n FROM labels GROUP BY doc_id) l USING (doc_id)")
+def patch_repeated_keys(spark, sf_dir):
+    """Changes that repeat a key multiply no row; the greatest counts."""
+    l = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("z"), F.col("toxic").cast("string")).alias("lang"))
+    less = l.withColumn("lang", F.lit("a"))
+    return mutations.patch_columns(read(spark, sf_dir, "documents").select("doc_id", "lang"), l.unionByName(less), ["doc_id"], ["lang"])
+
+
+@query("SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id + 1000000, lang FROM documents")
+def append_rows(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return mutations.append(d, d.withColumn("doc_id", F.col("doc_id") + 1000000))
+
+
+@query("SELECT count(*) AS gone, 0::BIGINT AS kept FROM documents")
+def truncate_table(spark, sf_dir):
+    left, gone = mutations.truncate(read(spark, sf_dir, "documents"))
+    return left.agg(F.lit(gone).cast("bigint").alias("gone"), F.count("*").alias("kept"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT s_suppkey + 100000, s_name || ' copy', s_nationkey FROM supplier WHERE s_nationkey % 2 = 0")
+def import_batch(spark, sf_dir):
+    """Known names and entries with a strange key are passed by, all else is taken."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    odd = F.create_map(F.when(F.col("s_nationkey") % 2 == 0, "url").otherwise("strange"), F.lit("x"))
+    new = s.select((F.col("s_suppkey") + 100000).alias("s_suppkey"), F.concat("s_name", F.lit(" copy")).alias("s_name"), "s_nationkey", odd.alias("entry"))
+    return catalog.import_new(s, new.unionByName(s.withColumn("entry", F.create_map(F.lit("url"), F.lit("x")))), ["s_name"], ["url"])
+
+
 @query("SELECT l_partkey, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS l_quantity FROM lineitem GROUP BY l_partkey")
 def last_write_wins(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber")
@@ -514,7 +558,41 @@ def items_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_search(spark, sf_dir):
     items = items_table(spark, sf_dir)
     brand = items.agg(F.min("display_name")).first()[0]
-    return catalog.search(items, " AN ", tag=brand).select("p_partkey")
+    return catalog.search(items, "AN", tag=brand).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), ' b') OR contains(lower(p_brand), ' b') OR contains(lower(p_type), ' b')")
+def catalog_search_blanks(spark, sf_dir):
+    return catalog.search(items_table(spark, sf_dir), " B", category="", tag="").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part")
+def catalog_search_nothing(spark, sf_dir):
+    return catalog.search(items_table(spark, sf_dir), "").select("p_partkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE contains(lower(s_name), '1 ') OR contains(lower(s_name || ' on ' || s_nationkey), '1 ')")
+def cloud_search(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    return catalog.cloud_search(s.select("s_suppkey", F.col("s_name").alias("name"), F.concat("s_name", F.lit(" on "), F.col("s_nationkey").cast("string")).alias("description")), "1 ").select("s_suppkey")
+
+
+TYPED = "(SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'builtin' WHEN 1 THEN NULL ELSE 'stdio' END AS server_type FROM supplier)"
+
+
+def typed_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.when(k == 0, "builtin").when(k > 1, "stdio").alias("server_type"))
+
+
+@query(f"SELECT s_suppkey, server_type FROM {TYPED} WHERE server_type IS DISTINCT FROM 'builtin'")
+def custom_servers(spark, sf_dir):
+    return catalog.of_type(typed_servers(spark, sf_dir))
+
+
+@query(f"SELECT s_suppkey, server_type FROM {TYPED} WHERE server_type = 'builtin'")
+def builtin_servers(spark, sf_dir):
+    return catalog.of_type(typed_servers(spark, sf_dir), "builtin")
 
 
 @query("SELECT DISTINCT unnest(string_split(p_type, ' ')) AS categorie FROM part")
@@ -644,6 +722,32 @@ def scoped_tools(spark, sf_dir):
     return scope.listed_tools(scope.scope_servers("/$smart/3", statuses, groups), tools)
 
 
+LISTED = """live AS (SELECT 'srv-' || n_nationkey AS server_name FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0),
+  allowed AS (SELECT 'srv-' || n_nationkey AS server_name FROM nation WHERE n_nationkey % 3 < 2),
+  o AS (SELECT 'srv-' || (p_partkey % 50) AS server_name, 'tool_' || p_partkey AS name, p_partkey % 2 = 0 AS enabled, CASE WHEN p_partkey % 3 = 0 THEN 'own ' || p_partkey END AS own FROM part WHERE p_partkey % 5 < 3)"""
+
+
+@query(f"""WITH {TOOLS}, {LISTED} SELECT server_name, name, server_name || '-' || name AS exposed_name, coalesce(own, description, '') AS description, input_schema
+  FROM live SEMI JOIN allowed USING (server_name) JOIN tools USING (server_name) LEFT JOIN o USING (server_name, name) WHERE coalesce(o.enabled, true)""")
+def tools_list(spark, sf_dir):
+    statuses, groups, tools = scope_tables(spark, sf_dir)
+    n, p = F.col("n_nationkey"), F.col("p_partkey")
+    allowed = read(spark, sf_dir, "nation").where(n % 3 < 2).select(F.concat(F.lit("srv-"), n.cast("string")).alias("server"))
+    o = read(spark, sf_dir, "part").where(p % 5 < 3).select(
+        F.concat(F.lit("srv-"), (p % 50).cast("string")).alias("server_name"), F.lit("tool").alias("item_type"), F.concat(F.lit("tool_"), p.cast("string")).alias("item_name"),
+        (p % 2 == 0).alias("enabled"), F.when(p % 3 == 0, F.concat(F.lit("own "), p.cast("string"))).alias("description"),
+    )
+    return scope.tools_list(scope.scope_servers("", statuses, groups), tools.withColumn("output_schema", F.lit("{}")), allowed, o, "2024-11-05")
+
+
+@query("SELECT 'srv-' || n_nationkey AS name FROM nation WHERE (n_nationkey % 2 = 0 OR n_nationkey % 3 = 0) AND n_nationkey % 3 < 2")
+def restricted_scope(spark, sf_dir):
+    statuses, groups, _ = scope_tables(spark, sf_dir)
+    n = F.col("n_nationkey")
+    allowed = read(spark, sf_dir, "nation").where(n % 3 < 2).select(F.concat(F.lit("srv-"), n.cast("string")).alias("server"))
+    return scope.restrict(scope.scope_servers("", statuses, groups), allowed.unionByName(allowed)).select("name")
+
+
 @query("SELECT 'srv-' || n_nationkey AS name FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0 UNION ALL SELECT 'builtin'")
 def scope_global(spark, sf_dir):
     statuses, groups, _ = scope_tables(spark, sf_dir)
@@ -720,9 +824,7 @@ def export_plan(spark, sf_dir):
   (SELECT p_partkey, p_brand, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM part))""")
 def slug_numbers(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.concat("p_brand", F.lit(" / "), F.col("p_partkey").cast("string")).alias("name"))
-    base = txt.slugify("brand")
-    n = F.row_number().over(Window.partitionBy(base).orderBy("name"))
-    return p.withColumn("n", n).select("p_partkey", F.when(F.col("n") == 1, base).otherwise(F.concat(base, F.lit("-"), F.col("n").cast("string"))).alias("slug"))
+    return skills.numbered_slugs(p, "brand", "name").select("p_partkey", "slug")
 
 
 # ---- versions and tasks ------------------------------------------------------
@@ -824,6 +926,23 @@ def progress_pct(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", txt.progress_pct(line).alias("pct"), txt.looks_like_download(line).alias("download"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 100 WHEN 3 THEN 99 ELSE NULL END::INTEGER AS pct,
+  CASE p_partkey % 5 WHEN 0 THEN 1048576 WHEN 1 THEN 1048576 WHEN 2 THEN p_size * 1048576 WHEN 3 THEN p_partkey ELSE 1048576 END::BIGINT AS bytes FROM part""")
+def long_numbers(spark, sf_dir):
+    m, s = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    line = F.when(m == 0, F.concat(F.lit("9" * 23), F.lit("%"))).when(m == 1, F.concat(s, F.lit("/"), F.lit("9" * 25))).when(m == 2, "18446744073709551615 %").when(m == 3, "18446744073709551614/18446744073709551615").otherwise(F.lit("18446744073709551616 of 7%"))
+    text = F.when(m == 0, "99999999999999999999999mb").when(m == 1, "9999999999999mb").when(m == 2, F.concat(F.lit("+0"), s, F.lit(" mb"))).when(m == 3, F.col("p_partkey").cast("string")).otherwise("")
+    return read(spark, sf_dir, "part").select("p_partkey", txt.progress_pct(line).alias("pct"), txt.body_limit(text).alias("bytes"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'b' || p_partkey WHEN 1 THEN 'b' || p_partkey WHEN 2 THEN 'x' || p_partkey ELSE '--from' END AS package FROM part")
+def last_from(spark, sf_dir):
+    n, m = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    a, b, x = (F.concat(F.lit(c), n) for c in "abx")
+    args = F.when(m == 0, F.array(F.lit("--from"), a, F.lit("--from"), b, x)).when(m == 1, F.array(F.lit("--from"), a, F.concat(F.lit("--from="), b))).when(m == 2, F.array(F.lit("-q"), x, F.lit("--from"))).otherwise(F.array(F.lit("--from"), F.lit("--from"), x))
+    return read(spark, sf_dir, "part").select("p_partkey", txt.package_of_command(F.lit("uvx"), args).alias("package"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KB', b / 1024.0) ELSE b || ' B' END AS size
   FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 40 AS b FROM orders)""")
 def size_format(spark, sf_dir):
@@ -922,8 +1041,6 @@ def unknown_keys(spark, sf_dir):
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{"a":{"b":1,"c":[9]},"d":null,"n":' || n_nationkey || '}' ELSE '{"a":{"b":1,"c":[1,2]},"d":0}' END AS config FROM nation""")
 def deep_merge(spark, sf_dir):
-    from tidewell.functions import json as js
-
     k = F.col("n_nationkey")
     patch = F.when(k % 2 == 0, F.concat(F.lit('{"a":{"c":[9]},"d":null,"n":'), k.cast("string"), F.lit("}"))).otherwise("{broken")
     return read(spark, sf_dir, "nation").select("n_nationkey", js.deep_merge(F.lit('{"a":{"b":1,"c":[1,2]},"d":0}'), patch).alias("config"))
@@ -931,8 +1048,6 @@ def deep_merge(spark, sf_dir):
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{"l":[{}],"x":' || n_nationkey || '}' ELSE '{"x":' || n_nationkey || '}' END AS stripped FROM nation""")
 def strip_empty(spark, sf_dir):
-    from tidewell.functions import json as js
-
     k = F.col("n_nationkey")
     value = F.concat(F.lit('{"e":{"f":null},'), F.when(k % 2 == 0, '"l":[{"g":[]}],').otherwise('"l":[],'), F.lit('"x":'), k.cast("string"), F.lit("}"))
     return read(spark, sf_dir, "nation").select("n_nationkey", js.strip_empty(value).alias("stripped"))
@@ -940,8 +1055,6 @@ def strip_empty(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_nationkey % 3 = 2 AS changed FROM nation")
 def connection_changed(spark, sf_dir):
-    from tidewell.functions import json as js
-
     k = F.col("n_nationkey")
     before = F.lit('{"id":1,"command":"x","env":null}')
     after = F.when(k % 3 == 0, '{"id":2,"description":"d","command":"x","env":{}}').when(k % 3 == 1, '{"command":"x","options":{"timeout":60000}}').otherwise('{"command":"x","options":{"timeout":5}}')
@@ -950,8 +1063,6 @@ def connection_changed(spark, sf_dir):
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'https://a.example/v1' WHEN 1 THEN 'http://localhost/api' WHEN 2 THEN 'http://h.example/b' END AS url FROM nation""")
 def api_base_url(spark, sf_dir):
-    from tidewell.functions import json as js
-
     m = F.col("n_nationkey") % 4
     spec = (
         F.when(m == 0, '{"servers":[{"url":"{host}/v1","variables":{"host":{"default":"https://a.example"}}}]}').when(m == 1, '{"servers":[{"url":"/api"}]}')
@@ -982,13 +1093,13 @@ def indexed_documents(spark, sf_dir):
 @query("SELECT event_id, coalesce(json_extract(props, '$.k')::VARCHAR, 'none') AS k, 'true' AS skip FROM events")
 def json_defaults(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("k"), F.coalesce(F.get_json_object("props", "$.routing.skipAuth"), F.lit("true")).alias("skip"))
+    return e.select("event_id", js.with_default(F.col("props"), "$.k", "none").alias("k"), js.with_default(F.col("props"), "$.routing.skipAuth", "true").alias("skip"))
 
 
 @query("""SELECT s_suppkey, '{"name":"' || s_name || '","env":{"URL":"u","AUTH_TOKEN":"***"}}' AS entry FROM supplier""")
 def export_redacted(spark, sf_dir):
-    env = txt.redact_env(F.create_map(F.lit("URL"), F.lit("u"), F.lit("AUTH_TOKEN"), F.col("s_name")))
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_name").alias("name"), env.alias("env"))).alias("entry"))
+    env = F.create_map(F.lit("URL"), F.lit("u"), F.lit("AUTH_TOKEN"), F.col("s_name"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", catalog.export_entry(F.col("s_name"), env).alias("entry"))
 
 
 @query("SELECT n_nationkey, 'a,b,n' || n_nationkey AS added, 'b' AS removed FROM nation")
@@ -1007,27 +1118,32 @@ def version_order(spark, sf_dir):
 @query("SELECT p_partkey, p_size || '.' || (p_partkey % 13) AS version FROM part ORDER BY p_size DESC, p_partkey % 13 DESC, p_partkey")
 def version_order_all(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 13).cast("string")).alias("version"))
-    return p.orderBy(num.version_parts("version").desc(), "p_partkey")
+    return versions.newest_first(p, key="p_partkey")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(min(s_name)) FROM supplier)")
 def reserved_names(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
-    taken = [s.agg(F.min("s_name")).first()[0].lower()]
-    return s.where(~txt.fold_ascii("s_name").isin(taken)).select("s_suppkey")
+    return catalog.without_reserved(s, [s.agg(F.min("s_name")).first()[0].upper()], "s_name").select("s_suppkey")
 
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS size, strlen(text) > 5000 AS too_large FROM documents")
 def size_guard(spark, sf_dir):
     size = F.octet_length("text").cast("bigint")
-    return read(spark, sf_dir, "documents").select("doc_id", size.alias("size"), (size > 5000).alias("too_large"))
+    return read(spark, sf_dir, "documents").select("doc_id", size.alias("size"), documents.too_large(F.col("text"), 5000).alias("too_large"))
+
+
+@query("SELECT doc_id, strlen(text) > 67108864 AS too_large FROM documents")
+def upload_guard(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", documents.too_large(F.col("text")).alias("too_large"))
 
 
 @query("""SELECT n.n_name AS name, s.s_name AS server FROM nation n JOIN supplier s ON s.s_nationkey IN (n.n_nationkey, n.n_nationkey + 1)""")
 def servers_of_groups(spark, sf_dir):
     n, s = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    own = s.groupBy("s_nationkey").agg(F.collect_set("s_name").alias("servers"))
     members = n.select("n_name", F.explode(F.array("n_nationkey", F.col("n_nationkey") + 1)).alias("s_nationkey"))
-    return members.join(s, "s_nationkey").select(F.col("n_name").alias("name"), F.col("s_name").alias("server"))
+    return scope.servers_of_groups(members.join(own, "s_nationkey").select(F.col("n_name").alias("name"), "servers"))
 
 
 @query("SELECT s_name AS name, 'stdio' AS kind FROM supplier UNION ALL SELECT 'builtin', 'builtin'")

@@ -12,6 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def one_each(rows: DataFrame, on: list[str]) -> DataFrame:
+    """One row a key, of several the greatest by its columns, so that a change never multiplies rows."""
+    rest = [c for c in rows.columns if c not in on]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*on).agg(F.max(F.struct(*rest)).alias("row")).select(*on, "row.*").select(*rows.columns)
+
+
 def append(before: DataFrame, rows: DataFrame) -> DataFrame:
     return before.unionByName(rows)
 
@@ -33,7 +41,8 @@ def insert_missing(before: DataFrame, rows: DataFrame, on: list[str]) -> DataFra
 
 
 def upsert(before: DataFrame, rows: DataFrame, on: list[str], update: list[str]) -> DataFrame:
-    """Update the named columns of known keys, insert the rest."""
+    """Update the named columns of known keys, insert the rest; of changes with one key the greatest counts."""
+    rows = one_each(rows, on)
     cond = [F.col(f"b.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
     there = F.coalesce(F.col("r._there"), F.lit(False))
     b, r = before.withColumn("_there", F.lit(True)).alias("b"), rows.withColumn("_there", F.lit(True)).alias("r")
@@ -48,14 +57,24 @@ def upsert(before: DataFrame, rows: DataFrame, on: list[str], update: list[str])
 
 
 def patch_columns(before: DataFrame, changes: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Non-null values of the changes in the named columns; all else stays."""
+    """Non-null values of the changes in the named columns; all else stays. Of changes with one key the greatest counts."""
+    changes = one_each(changes.select(*on, *columns), on)
     r = changes.select(*on, *(F.col(c).alias(f"_{c}") for c in columns))
     return before.join(r, on, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(*before.columns)
 
 
+def set_or_insert(before: DataFrame, changes: DataFrame, on: list[str], column: str, defaults: dict[str, object]) -> DataFrame:
+    """Set one column of known keys, null too; an unknown key is a new row with the defaults."""
+    rows = changes.select(*on, column).withColumns({c: F.lit(v) for c, v in defaults.items()})
+    for c in before.columns:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(before.schema[c].dataType))
+    return upsert(before, rows.select(*before.columns), on, [column])
+
+
 def retag(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """New tags of the documents in all their chunks; ids and vectors stay."""
-    new = docs.select("doc_id", F.col("tags").alias("_tags"))
+    new = one_each(docs.select("doc_id", F.col("tags").alias("_tags")), ["doc_id"])
     return chunks.join(new, "doc_id", "left").withColumn("tags", F.coalesce("_tags", "tags")).select(*chunks.columns)
 
 
@@ -84,7 +103,11 @@ def remove_members(members: Column, gone: Column) -> Column:
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str, files: int | None = None) -> None:
-    """Write beside the table, then swap by rename; with ``files``, compacted to so many."""
+    """Write beside the table, then swap by rename; with ``files``, compacted to so many.
+
+    Between the two renames the table isn't there; a job that dies there leaves it
+    whole beside its place, as ``.new`` and ``.old``.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     (df if files is None else df.repartition(files)).write.parquet(new)
@@ -114,6 +137,7 @@ def update_document(docs: DataFrame, changes: DataFrame, append_text: bool = Fal
     Content replaces or, with ``append_text``, follows after a line break. The
     version stays: only an uploaded file counts it up.
     """
+    changes = one_each(changes.select("doc_id", *(c for c in ("name", "file_type", "content", "tags") if c in changes.columns)), ["doc_id"])
     r = changes.select("doc_id", *(F.col(c).alias(f"_{c}") for c in ("name", "file_type", "content", "tags") if c in changes.columns))
     out = docs.join(r, "doc_id", "left")
     for c in ("name", "file_type", "content", "tags"):
