@@ -1,5 +1,9 @@
 import hashlib
+import pathlib
+import random
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.oracle import assert_same, connect
@@ -89,3 +93,42 @@ def test_fingerprint_edges(spark, edge, nothing):
 def test_no_python_in_the_plan(documents):
     plan = fingerprint.fingerprints(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_canonical_form_is_its_own():
+    words = [*licenses.EQUIVALENT, *licenses.EQUIVALENT.values(), "x", "C", "(c)", "licence licence", "per cent cent", "sub licence"]
+    r = random.Random(1)
+    for _ in range(3000):
+        line = r.choice([" ", ", ", "-"]).join(r.choice(words) for _ in range(r.randint(1, 8)))
+        once = licenses.canonical_line(line)
+        assert licenses.canonical_line(once) == once
+    assert licenses.canonical_line("Licence, licence X") == "license license x"
+
+
+def test_column_and_sql_agree_with_plain(spark):
+    r = random.Random(2)
+    words = [*licenses.EQUIVALENT, "x", "Copyright", "(c)", "2020", "é", "https://", "..."]
+    texts = ["\n".join(r.choice([" ", ", ", "  "]).join(r.choice(words) for _ in range(r.randint(0, 7))) for _ in range(r.randint(0, 4))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.digest for x in licenses.scan(docs).collect()} == {i: licenses.digest(t) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert dict(con.sql(f"SELECT doc_id, digest FROM ({licenses.oracle()})").fetchall()) == {i: licenses.digest(t) for i, t in enumerate(texts)}
+
+
+def test_whole_texts_are_known(spark):
+    mit = licenses.TEXTS["MIT"].partition("\n\n")[2]
+    texts = [f"The MIT License (MIT)\nCopyright (c) 2020 A. Body\n{mit}", mit.upper(), mit + "\nand more", licenses.TEXTS["BSD-3-Clause"].replace("1. ", "* "), licenses.TEXTS["Zlib"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.license for x in licenses.scan(docs).collect()} == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: "Zlib"}
+    own = spark.createDataFrame([("Own-1.0", "You may.\nCopyright me"), ("Own-0.9", "you MAY"), (None, "x"), ("Own-2", None)], "license string, text string")
+    docs = spark.createDataFrame([(1, "Copyright you\nYou may!"), (2, texts[1]), (3, None)], "doc_id long, text string")
+    assert {x.doc_id: x.license for x in licenses.scan(docs, own).collect()} == {1: "Own-0.9", 2: "MIT", 3: None}
+
+
+def test_digests_of_official_texts():
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for key, name in files.items():
+        path = pathlib.Path("/usr/share/common-licenses") / name
+        if path.exists():
+            assert licenses.digest(path.read_text("utf-8")) == licenses.WHOLE[key]

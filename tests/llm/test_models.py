@@ -223,6 +223,27 @@ def test_later_models_read_earlier_ones():
     assert scorer.scores("aa BADLY")[1] < scorer.scores("aa bad")[1] > 0.5 and scorer.scores(None)[1] < 0.5
 
 
+def test_three_categories(spark):
+    """A longer chain, in any order; each model reads the probabilities of all before it."""
+    r = random.Random(3)
+    rows, ys = [], []
+    for i in range(400):
+        insult, threat = i % 3 == 0, i % 4 == 0
+        words = [r.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(8)] + ["fool"] * insult + ["hurt"] * threat
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(insult), int(threat), int(insult or threat)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], *x[2:]) for x in rows], "doc_id long, insult int, threat int, toxic int")
+    for names in (["insult", "threat", "toxic"], ["threat", "insult", "toxic"]):
+        models = toxicity.train(docs, labels, {n: f"{n} = 1" for n in names})
+        assert [len(m.earlier) for m in models] == [0, 1, 2]
+        got = {x.doc_id: x for x in toxicity.score(docs, models, names).collect()}
+        for i, _, insult, threat, toxic in rows:
+            assert (got[i].p_insult > 0.5, got[i].p_threat > 0.5, got[i].toxic) == (bool(insult), bool(threat), bool(toxic))
+    want = toxicity.Scorer(models).scores("aa fool")
+    assert [0 <= p <= 1 for p in want] == [True] * 3
+
+
 def test_toxicity_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(4, 1, 0), (5, None, 1), (5, 0, 0), (None, 1, 1), (99, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
     for l in (labels, labels.limit(0), labels.where("toxic = 0")):

@@ -107,8 +107,8 @@ def raw_score(model: Linear, features, before) -> float:
     return model.intercept + sum(get(f, 0.0) for f in features) + sum(a * b for a, b in zip(model.earlier, before, strict=True))
 
 
-def clip(score: float) -> float:
-    return min(max(score, -8.0), 8.0)
+def probability(score: float) -> float:
+    return float(1 / (1 + np.exp(-min(max(score, -30.0), 30.0))))
 
 
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, shares: list[float], folds: int = 3) -> list[Linear]:
@@ -122,7 +122,7 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, shares: list[float], f
             train = np.flatnonzero(fold != f)
             part = fit_linear([rows[i] for i in train], before[train], y[train])
             for i in np.flatnonzero(fold == f):
-                out[i] = clip(raw_score(part, rows[i].tolist(), before[i]))
+                out[i] = probability(raw_score(part, rows[i].tolist(), before[i]))
         models.append(fit_linear(rows, before, y))
         before = np.column_stack([before, out])
         # Smoothed as the model of a single class is, so that a sample without one value isn't taken for proof.
@@ -151,8 +151,8 @@ class Scorer(dict):
         features.update(*map(self.__getitem__, set((text or "").split())))
         before: list[float] = []
         for model in self.models:
-            before.append(clip(raw_score(model, features, before)))
-        return [float(1 / (1 + np.exp(-s))) for s in before]
+            before.append(probability(raw_score(model, features, before)))
+        return before
 
 
 #: The chain over the labels that the corpus has: text of low quality, then toxic text.
@@ -183,7 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
 
 
 def score(docs: DataFrame, models: list[Linear], names: list[str], threshold: float = 0.5) -> DataFrame:
-    """``(doc_id, p_<name>..., <last name>)``, one row per input row; a null text is empty."""
+    """``(doc_id, p_<name>..., <last name>)``, one row per input row.
+
+    A null or empty text has no features, a very long one is read whole. Repeated
+    rows come back alike, rows without an id, too; other columns aren't read. A
+    probability of just the threshold is in the category.
+    """
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     kept: list[Scorer] = []  # one a task, not one a batch
@@ -207,7 +212,11 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CA
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, per_class: int = 2500, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that the last model doesn't reject."""
+    """The rows of ``docs``, all columns, that the last model doesn't reject.
+
+    Rows are judged by their text alone, repeated ones and those without an id
+    alike; a null text is empty. Without labels all stay.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, per_class))
 
     def make():
