@@ -1,9 +1,11 @@
 import hashlib
 import pathlib
 import random
+import re
 
 import duckdb
 import pandas as pd
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import assert_same, connect
@@ -132,3 +134,61 @@ def test_digests_of_official_texts():
         path = pathlib.Path("/usr/share/common-licenses") / name
         if path.exists():
             assert licenses.digest(path.read_text("utf-8")) == licenses.WHOLE[key]
+
+
+def plain_vector(text):
+    """Components of a fingerprint: 62 sums of bits, 4 of 32 bits, the number of paragraphs."""
+    parts = [p for p in re.split(r"[\r\n]+|(?<=[.!?]) ", text) if re.search(r"[^ \t\n\x0b\f\r]", p)]
+    bits, wide = [0] * 62, [0] * 4
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode(), 42)
+        for i in range(62):
+            bits[i] += h >> i & 1
+        for k, salt in enumerate((1, 2)):
+            v = xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), h)
+            wide[2 * k] += v & 0xFFFFFFFF
+            wide[2 * k + 1] += v >> 32
+    return bits, [w % (1 << 32) for w in wide], len(parts)
+
+
+def plain_hex(text):
+    bits, wide, n = plain_vector(text)
+    return "".join(f"{v:016x}" for v in [bits[i] | bits[i + 31] << 31 for i in range(31)] + wide + [n])
+
+
+def plain_likeness(a, b):
+    if plain_hex(a) == plain_hex(b):
+        return 1.0
+    (x, _, n), (y, _, m) = plain_vector(a), plain_vector(b)
+    x, y = [2 * v - n for v in x], [2 * v - m for v in y]
+    total = sum(v * v for v in x) + sum(v * v for v in y)
+    return 0.0 if not total else max(0.0, 1 - sum((p - q) ** 2 for p, q in zip(x, y)) / total)
+
+
+def test_fingerprints_against_plain(spark, documents, texts):
+    ids = sorted(texts, reverse=True)
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(documents).collect()}
+    assert set(rows) == set(ids)
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        t, other = texts[i], texts[after]
+        edited = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_hex(t), plain_hex(edited))
+        assert abs(r.near_edited - plain_likeness(t, edited)) < 1e-9 and abs(r.near_next - plain_likeness(t, other)) < 1e-9
+
+
+def test_ranges_change_nothing(spark, documents):
+    base = documents.select("doc_id", F.lit(0).alias("tie"))
+    want = {r.doc_id: r.next.doc_id for r in fingerprint.following(base, ["doc_id"], 1).where("next is not null").collect()}
+    for n in (2, 7, 500):
+        got = {r.doc_id: r.next.doc_id for r in fingerprint.following(base, ["doc_id"], n).where("next is not null").collect()}
+        ids = sorted(want, reverse=True)
+        assert all(got[a] == b for a, b in zip(ids, ids[1:]))
+
+
+def test_more_sentences_than_a_small_lane_holds(spark):
+    n = (1 << 20) + 7
+    docs = spark.createDataFrame([(1, "a. " * n), (2, "a. " * n + "b.")], "doc_id long, text string")
+    by = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    assert by[1].fingerprint.endswith(f"{n:016x}") and 0.99 < by[1].near_next < 1.0

@@ -6,8 +6,8 @@ vectors, each component modulo a power of two (AdHash of Bellare and
 Micciancio, 1997). So order doesn't matter, equal multisets are equal, and a
 paragraph is put in or taken out by adding or subtracting its vector.
 
-The vector has 63 components of one bit, kept modulo 2**20, three to a long
-with a clear bit between them, four components of 32 bits, and the number 1.
+The vector has 62 components of one bit, kept modulo 2**30, two to a long with
+a clear bit above each (no text has so many paragraphs, so they never wrap), four components of 32 bits, and the number 1.
 The one-bit components read as signs are an AMS sketch (Alon, Matias, Szegedy,
 1996): squared differences of two fingerprints estimate how many paragraphs
 the documents don't share. Everything is Spark SQL.
@@ -15,13 +15,17 @@ the documents don't share. Everything is Spark SQL.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Three components of 20 bits with a spare bit after each.
-LANES = 21
-MASK = sum(((1 << 20) - 1) << (21 * i) for i in range(3))
-ONES = sum(1 << (21 * i) for i in range(3))
+from tidewell.llm.common import materialize
+
+#: Longs of two components of 30 bits with a spare bit above each.
+LANES, WIDTH, STEP = 31, 30, 31
+MASK = sum(((1 << WIDTH) - 1) << (STEP * i) for i in range(2))
+ONES = sum(1 << (STEP * i) for i in range(2))
 LOW = 0xFFFFFFFF
 
 
@@ -31,7 +35,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the summed vector of a text column: ``array<long>`` of 21 packed
+    """Add the summed vector of a text column: ``array<long>`` of 31 packed
     sketch components, 4 of 32 bits and the count.
 
     Each step is a projection of its own, so that Catalyst computes the split
@@ -57,7 +61,7 @@ def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the multisets' sum, or with ``sign=-1`` of their difference."""
-    spare = F.lit(ONES << 20)
+    spare = F.lit(ONES << WIDTH)
 
     def each(x: Column, y: Column, i: Column) -> Column:
         mask = F.when(i < LANES, F.lit(MASK)).otherwise(F.lit(LOW))
@@ -81,7 +85,7 @@ def likeness(a: Column, b: Column) -> Column:
         return F.flatten(
             F.transform(
                 F.slice(v, 1, LANES),
-                lambda p: F.array(*(F.lit(2) * F.shiftrightunsigned(p, 21 * i).bitwiseAND(F.lit((1 << 20) - 1)) - n for i in range(3))),
+                lambda p: F.array(*(F.lit(2) * F.shiftrightunsigned(p, STEP * i).bitwiseAND(F.lit((1 << WIDTH) - 1)) - n for i in range(2))),
             )
         )
 
@@ -94,40 +98,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / total))
 
 
-def _below(edges: list[int], x: Column) -> Column:
-    """How many of the sorted edges are below ``x``, in two steps of the root of their number."""
-    if not edges:
-        return F.lit(0)
-    step = max(1, round(len(edges) ** 0.5))
-    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    count = lambda array: F.size(F.filter(array, lambda e: e < x))
-    full = count(longs([g[-1] for g in groups]))
-    inside = full * step + count(F.get(F.array(*(longs(g) for g in groups)), full))
-    return F.when(full == len(groups), len(edges)).otherwise(inside)
+def _below(edges: Column, x: Column) -> Column:
+    """How many of the sorted edges are below ``x``, by halving."""
+    lo, hi = (lambda s: s["lo"]), (lambda s: s["hi"])
+    mid = lambda s: F.floor((lo(s) + hi(s)) / 2).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        less = F.get(edges, mid(s)) < x
+        return F.when(lo(s) >= hi(s), s).when(less, F.struct((mid(s) + 1).alias("lo"), hi(s).alias("hi"))).otherwise(F.struct(lo(s).alias("lo"), mid(s).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lo)
+
+
+def _edges(column: str, n: int, most: int = 512) -> Column:
+    """Aggregate: sorted values that cut a column into about ``n`` ranges, even ones between ``most`` quantiles."""
+    wide = min(n, most)
+    each = -(-n // wide)
+    q = F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(column, [i / wide for i in range(wide + 1)], 10_000), F.array().cast("array<bigint>"))))
+    between = lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: x + F.floor((F.coalesce(F.get(q, i + 1), x) - x) / each).cast("bigint") * j)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(q, between))))
 
 
 def following(docs: DataFrame, fields: list[str], buckets: int | None = None) -> DataFrame:
     """``docs`` with ``next``, a struct of the fields of the next smaller doc_id.
 
     The last document is followed by the first. Documents are cut into ranges
-    of doc_id by quantiles, one task each; every range also gets a copy of the
-    one document that follows its last.
+    of doc_id by quantiles, and evenly between those, some for each task; every range also gets a copy of
+    the one document that follows its last. The edges are one literal and the
+    ranges' first documents a joined table of a row each, so the plan is the
+    same for any number of ranges.
     """
     spark = docs.sparkSession
     # Several ranges a task, as they are dealt by hash.
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    at = _below(sorted(set(edges)), F.col("doc_id"))
-    placed = docs.withColumn("range", at)
-    heads = sorted((r["range"], r["top"]) for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).where("top is not null").collect())
-    ghosts = {top: heads[(i + 1) % len(heads)][0] for i, (_, top) in enumerate(heads)}
-    if ghosts:
-        places = F.create_map(*(F.lit(x) for pair in ghosts.items() for x in pair))
-        copies = F.explode(F.array_compact(F.array(F.struct("range", F.lit(False).alias("ghost")), F.when(places[F.col("doc_id")].isNotNull(), F.struct(places[F.col("doc_id")].alias("range"), F.lit(True).alias("ghost"))))))
-        placed = placed.select("*", copies.alias("at")).drop("range").select("*", "at.range", "at.ghost").drop("at")
-    else:
-        placed = placed.withColumn("ghost", F.lit(False))
+    edges = docs.agg(_edges("doc_id", n).alias("edges")).first().edges
+    # One literal, however many ranges there are.
+    range_of = _below(F.from_json(F.lit(json.dumps(edges)), "array<bigint>"), F.col("doc_id"))
+    tops = materialize(docs.select("doc_id", range_of.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top")).where("top is not null"), "fingerprint-tops")
+    # A row for each range, in one task: who comes before its first document.
+    first = Window.orderBy("range")
+    heads = tops.select(F.col("top"), F.coalesce(F.lead("range").over(first), F.min("range").over(Window.partitionBy())).alias("before"))
+    placed = docs.withColumn("range", range_of).join(heads, F.col("doc_id") == F.col("top"), "left")
+    copies = F.explode(F.array_compact(F.array(F.struct("range", F.lit(False).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost"))))))
+    placed = placed.select("*", copies.alias("at")).drop("range", "top", "before").select("*", "at.range", "at.ghost").drop("at")
     order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc(), "tie")
     later = F.lead(F.struct(*fields)).over(order)
     return placed.withColumn("next", later).where("not ghost").drop("range", "ghost")
@@ -140,7 +154,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     code points replaced by the first as many of the next document's. A null
     text is empty; two empty texts have equal fingerprints and likeness 1.
     Rows that repeat a doc_id follow each other by their text's hash. A single
-    document follows itself. Rows without an id come last.
+    document follows itself. Rows without an id come last. Very long texts are
+    read whole. Other columns aren't read. An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = with_vector(base.withColumn("tie", F.xxhash64("text")), "text", "vector")
