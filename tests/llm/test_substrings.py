@@ -56,3 +56,28 @@ def test_edges(edge, nothing):
         by.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
     assert by[1] == [(0, 0)] and by[5] == [(120, 120)] * 2 and by[4] == [(120, 0)] and by[10] == [(180, 120)] and (30, 0) in by[None]
     assert substrings.remove_repeats(nothing).count() == 0
+
+
+def test_paths_are_compacted(spark):
+    """A chain of nodes has one head; a branch ends it, and a circle isn't followed."""
+    def rows(doc, nodes, first=1):
+        return [(doc, ord(x), 0, 10 * i, 10, first) for i, x in enumerate(nodes)]
+
+    schema = "doc_id long, h1 long, h2 long, start int, n int, first long"
+    got = lambda r: {chr(x.node.h1): (chr(x.head.h1), x.rank, x.words) for x in substrings.compacted(spark.createDataFrame(r, schema)).collect()}
+    assert got(rows(1, "abcdefg") + rows(2, "cdef")) == {c: ("a", i, 10 * i) for i, c in enumerate("abcdefg") if i}
+    assert got(rows(1, "abcd") + rows(2, "abxd")) == {"b": ("a", 1, 10)}
+    assert got(rows(1, "pabab")) == {"b": ("a", 1, 10)} and got(rows(1, "a")) == {}
+    assert got(rows(1, "abca", 1)) == {}
+    long = "".join(chr(200 + i) for i in range(700))
+    assert got(rows(1, long)) == {c: (long[0], i, 10 * i) for i, c in enumerate(long) if i}
+
+
+def test_a_path_with_a_hole_keeps_its_hole(spark):
+    schema = "doc_id long, h1 long, h2 long, start int, n int, first long"
+    whole = [(1, i, 0, 10 * i, 10, 1) for i in range(6)]
+    part = [(2, i, 0, 10 * i, 10, 1) for i in (0, 1, 4, 5)]
+    spans = {(x.start, x.stop) for x in substrings.path_spans(spark.createDataFrame(whole + part, schema), 50).collect()}
+    assert {p for a, z in spans for p in range(a, z)} == set(range(0, 69)) | set(range(40, 109)) and (0, 109) not in spans
+    spans = [(x.doc_id, x.start, x.stop) for x in substrings.path_spans(spark.createDataFrame(whole + [(3, *x[1:]) for x in whole], schema), 50).collect()]
+    assert spans == [(3, 0, 109)]

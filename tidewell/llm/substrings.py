@@ -1,22 +1,26 @@
 """Substring deduplication on a compacted de Bruijn graph of words.
 
-The ``k``-word runs of the corpus are the edges of a de Bruijn graph. Every
-window of ``window`` (50) words picks its smallest edge by hash, its minimizer
-(the leftmost of equals); equal windows pick equal edges. Consecutive windows
-with the same minimizer form a path without a branch and are compacted to one
-record, a digest of its words with its source coordinates (minimum substring
-partitioning: Li, Kamousi, Han, Yang, Yan, Suri, 2013). Then, all by joins:
+The graph is sparse: of the ``k``-word runs of the corpus it has those that some
+window of ``window`` (50) words picks as its smallest by hash, its minimizer (the
+leftmost of equals); equal windows pick equal ones (minimum substring
+partitioning: Li, Kamousi, Han, Yang, Yan, Suri, 2013; sparse graphs: Ye, Ma,
+Cannon, Pop, Yu, 2012). A node is the text of the consecutive windows that share
+a minimizer, kept as a digest of its words with its source coordinates; an edge
+leads to the node that follows in a document. Then, all by joins:
 
 1. minimizers that only one document has are left out;
-2. of equal paths, the smallest document keeps its words and all others lose
-   theirs;
-3. where a minimizer has several paths, that is where the graph branches, the
-   windows of each path's first source are compared one by one by digests of
-   the words at their source coordinates.
+2. each node gets its first source, the smallest document that has it;
+3. nodes with one edge out, whose successor has one edge in and the same first
+   source, don't branch. Such paths are compacted by pointer doubling: every
+   node learns the head of its path, its rank and its distance in words;
+4. every other document loses the words of the paths that it shares, one span
+   for each stretch of a path. Digests at the source coordinates, 128 bits of the
+   words themselves, say that they are the same;
+5. where a minimizer has several nodes, that is where the graph branches within
+   a run, the windows of each node's first source are compared one by one.
 
 A record holds at most ``window - k + 1`` windows, so what is exchanged grows
-with the text, never with the square of a group of copies. Digests have 128
-bits and are taken of the words themselves.
+with the text, never with the square of a group of copies.
 """
 
 from __future__ import annotations
@@ -73,10 +77,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def compact(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, first window and number of windows of each path of a text."""
-    bits = np.uint64(max(20, len(hashes).bit_length()))
+    # The upper half of the hash, then the place: the same order in a text of any length.
     place = np.arange(len(hashes), dtype=np.uint64)
-    least = sliding_min((hashes >> bits << bits) | place, w)
-    at = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    least = sliding_min((hashes >> np.uint64(32) << np.uint64(32)) | place, w)
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return hashes[at[first]].view(np.int64), first, np.diff(np.append(first, len(at)))
 
@@ -88,10 +92,6 @@ def _spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b" ".join(words), end - size, end
 
 
-def _halves(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
 def paths(docs: DataFrame, window: int, k: int) -> DataFrame:
     """``(doc_id, minimizer, h1, h2, start, n)`` of every compacted path."""
 
@@ -118,19 +118,63 @@ def windows(listed: DataFrame, window: int) -> DataFrame:
     """``(doc_id, start, w1, w2)`` of each window of the listed paths."""
 
     def run(ids, texts, parts):
-        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "w1", "w2")}
+        out: dict[str, list] = {c: [np.empty(0, dtype=np.int64)] for c in ("doc_id", "start", "w1", "w2")}
         for doc, text, own in zip(ids, texts, parts, strict=True):
             joined, begin, end = _spans((text or "").encode().split())
-            for part in own:
-                for at in range(part["start"], part["start"] + part["n"]):
-                    w1, w2 = _halves(xxhash.xxh3_128_digest(joined[begin[at] : end[at + window - 1]]))
-                    for name, value in zip(out, (doc, at, w1, w2), strict=True):
-                        out[name].append(value)
-        return out
+            at = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in own])
+            cut = zip(begin[at].tolist(), end[at + window - 1].tolist(), strict=True)
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:z]) for a, z in cut), dtype="<i8").reshape(-1, 2)
+            for name, values in zip(out, (np.full(len(at), doc), at, halves[:, 0], halves[:, 1]), strict=True):
+                out[name].append(values)
+        return {c: np.concatenate(v) for c, v in out.items()}
 
     return map_columns(listed, ["doc_id", "text", "parts"], "doc_id long, start int, w1 long, w2 long", run)
 
 
+def compacted(placed: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``(node, head, rank, words)`` of the nodes that follow another on a nonbranching path.
+
+    ``placed`` (doc_id, h1, h2, start, n, first). A node that no other must
+    precede is the head of its own path and isn't listed; nor are those of a
+    path that runs in a circle.
+    """
+    node = F.struct("h1", "h2")
+    here = placed.select("doc_id", (F.col("start") + F.col("n")).alias("start"), node.alias("u"), F.col("first").alias("fu"), "n")
+    there = placed.select("doc_id", "start", node.alias("v"), F.col("first").alias("fv"))
+    edges = materialize(here.join(there, ["doc_id", "start"]).drop("doc_id", "start").distinct(), "substrings-edges")
+    out = edges.groupBy("u").agg(F.count("*").alias("d"), *(F.min(c).alias(c) for c in ("v", "fu", "fv", "n"))).where("d = 1 AND fu = fv AND u <> v")
+    one_in = edges.groupBy("v").agg(F.count("*").alias("d")).where("d = 1").select("v")
+    pointers = out.join(one_in, "v", "left_semi").select(F.col("v").alias("node"), F.col("u").alias("to"), F.lit(1).alias("rank"), F.col("n").cast("long").alias("words"))
+    seen = None
+    for i in range(max_rounds):
+        pointers = materialize(pointers, f"substrings-pointers-{i}")
+        more = pointers.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"), F.col("words").alias("words2"))
+        open_ = pointers.join(more, "to", "left_semi").count()
+        if open_ in (0, seen):  # what is left open runs in circles
+            heads = pointers.join(more, "to", "left_anti")
+            return heads.select("node", F.col("to").alias("head"), "rank", "words")
+        seen = open_
+        pointers = pointers.join(more, "to", "left").select(
+            "node", F.coalesce("to2", "to").alias("to"), (F.col("rank") + F.coalesce("rank2", F.lit(0))).alias("rank"), (F.col("words") + F.coalesce("words2", F.lit(0))).alias("words")
+        )
+    raise RuntimeError(f"paths did not end in {max_rounds} doublings")
+
+
+def path_spans(placed: DataFrame, window: int) -> DataFrame:
+    """``(doc_id, start, stop)``: the stretches of compacted paths that a smaller document has, too."""
+    stop = F.col("start") + F.col("n") + (window - 1)
+    own = placed.where("doc_id > first").select("doc_id", F.struct("h1", "h2").alias("node"), "start", stop.alias("stop"))
+    on = own.join(compacted(placed), "node", "left")
+    head, rank = F.coalesce("head", "node").alias("head"), F.coalesce("rank", F.lit(0)).alias("rank")
+    lined = on.select("doc_id", head, rank, "start", "stop", (F.col("start") - F.coalesce("words", F.lit(0))).alias("line"))
+    # On one line a path's nodes lie side by side, if none is left out between them.
+    each = lined.groupBy("doc_id", "head", "line").agg(
+        F.collect_set(F.struct("start", "stop")).alias("all"), (F.max("rank") - F.min("rank") + 1).alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop")
+    )
+    whole = F.when(F.size("all") == F.col("n"), F.array(F.struct("start", "stop"))).otherwise(F.col("all"))
+    return each.select("doc_id", F.explode(whole).alias("x")).select("doc_id", "x.start", "x.stop")
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     """Words ``[start, stop)`` to remove, ``(doc_id, start, stop)``; spans overlap."""
     every = materialize(paths(docs, window, k), "substrings-paths")
@@ -139,7 +183,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     kept = materialize(every.join(shared, "minimizer", "left_semi"), "substrings-shared")
     firsts = materialize(kept.groupBy("minimizer", "h1", "h2").agg(F.min("doc_id").alias("first")), "substrings-firsts")
     placed = materialize(kept.join(firsts, ["minimizer", "h1", "h2"]), "substrings-placed")
-    same = placed.where("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
+    same = path_spans(placed, window)
 
     branching = materialize(firsts.groupBy("minimizer").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("minimizer"), "substrings-branching")
     parts = (
@@ -155,9 +199,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 16, with_text: bool = True) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept_text])`` by input row.
 
-    A null text has no words. Repeated rows of a document don't count against
-    each other and come back alike; a row without an id is compared with none
-    and keeps its words. An empty table gives no rows.
+    A null text has no words, a very long one is taken whole. Repeated rows of a
+    document don't count against each other and come back alike; a row without
+    an id is compared with none and keeps its words. Other columns aren't read.
+    An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(docs.where("doc_id is not null"), window, k)
