@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +43,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches, rows: int = 1024):
-    """The same rows in smaller batches, so that few texts are Python strings at a time."""
+def slices(batches, rows: int = 1024, size: int = 8 << 20):
+    """The same rows in smaller batches, of so many rows and, but for a single row, bytes of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        held = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(held), 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+            end = min(at + rows, max(at + 1, fits), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def map_columns(
