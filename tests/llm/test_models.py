@@ -73,6 +73,45 @@ def test_secret_model_adds_to_the_patterns(texts):
     assert sum(k == "crf" for t in texts.values() for _, _, k in secrets.all_spans(field, t)) <= 0.01 * len(texts)
 
 
+def planted(texts, seed=3):
+    """Documents with secrets that no pattern sees, and where those are."""
+    r = random.Random(seed)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    out = []
+    for text in texts:
+        words = text.split()
+        if len(words) < 12:
+            continue
+        v = r.choice([some(mixed, r.randint(20, 40)), "ghp_" + some(mixed, 30), "eyJ" + some(mixed, 30), some(mixed, 12) + "!" + some("0123456789", 2)])
+        lead = r.choice(["Authorization: Bearer ", "pwd -> ", "credential: ", "DB_PWD := ", "passphrase => "])
+        at = r.randint(3, len(words) - 3)
+        before = " ".join(words[:at]) + " " + lead
+        out.append((before + v + " " + " ".join(words[at:]), len(before), len(before) + len(v)))
+    return out
+
+
+def test_planted_secrets_are_found_and_little_else():
+    """Precision and recall on secrets beyond the patterns, in documents of the table."""
+    field = secrets.fit()
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:1500] if t]
+    hit = found = 0
+    cases = planted(texts)
+    for text, a, z in cases:
+        own = [(b, y) for b, y, k in secrets.all_spans(field, text) if k == "crf"]
+        found += len(own)
+        hit += any(b < z and a < y for b, y in own) or any(b <= a and z <= y for b, y, _ in secrets.all_spans(field, text))
+    print("planted secrets", len(cases), "hit", hit, "added spans", found)
+    assert hit >= 0.9 * len(cases) and hit >= 0.9 * found
+
+
+def test_secret_query_against_plain(spark, documents, texts):
+    field = secrets.fit()
+    for r in secrets.scan(documents).collect():
+        want = secrets.joined(secrets.all_spans(field, texts[r.doc_id]))
+        assert r.spans == want and [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k + ":") for x in want.split(",")) for k in secrets.KINDS]
+
+
 def test_secret_edges(edge, nothing):
     rows = secrets.scan(edge).collect()
     assert len(rows) == edge.count() and {r.doc_id: r.spans for r in rows}[1] == ""
