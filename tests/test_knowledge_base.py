@@ -37,3 +37,25 @@ def test_changes(spark, base):
     assert base.reindex().count() == 0
     base.delete(spark.createDataFrame([(dogs,)], "doc_id string"))
     assert base.docs().count() == 1 and base.chunks_of(dogs).count() == 0
+
+
+def test_tags_names_and_files(spark, base, monkeypatch):
+    from tidewell.operators import documents
+
+    notes, dogs = document_id("notes.md"), document_id("a-b.txt")
+    schema = "doc_id string, name string, add_tags array<string>, remove_tags array<string>"
+    rows = [(notes, "new/name.md", [" Cat ", "ANIMAL", "cat"], None), (dogs, "..", None, [" DOG", ""]), ("nobody", "x", None, None)]
+    refused = base.update(spark.createDataFrame(rows + rows[:1], schema)).collect()
+    assert [(r.doc_id, r.error) for r in refused] == [("nobody", "not found")]
+    got = {r.doc_id: r for r in base.docs().collect()}
+    assert (got[notes].name, got[notes].tags, got[notes].version) == ("new-name.md", ["animal", "Cat"], 1)
+    assert (got[dogs].name, got[dogs].tags) == ("a-b.txt", ["Animal"])
+    assert all(r.tags == ["animal", "Cat"] for r in base.chunks_of(notes).collect())
+    base.update_files(spark.createDataFrame([(dogs, "c.md", "# Two\ncats now")], "doc_id string, name string, content string"))
+    after = base.get(dogs).first()
+    assert (after.name, after.title, after.version, after.tags, after.size) == ("c.md", "Two", 2, ["Animal"], 14)
+    assert after.chunk_count == base.chunks_of(dogs).count() > 0 and base.get(notes).first().version == 1
+    assert base.listed().first().doc_id == dogs and [r.doc_id for r in base.listed("C.M").collect()] == [dogs]
+    monkeypatch.setattr(documents.too_large, "__defaults__", (5,))
+    refused = base.update(spark.createDataFrame([(notes, "longer than five")], "doc_id string, content string")).collect()
+    assert [(r.doc_id, r.error) for r in refused] == [(notes, "too large")] and base.get(notes).first().content.startswith("# Cats")

@@ -1,8 +1,10 @@
 """A knowledge base on Parquet tables: create, update, delete, tag, get and search documents.
 
 ``docs`` and ``chunks`` lie beside each other in one folder that Spark reads
-and writes. A change rewrites the tables and swaps them in, so changes are best
-made for many documents at once; readers see the old table or the new one.
+and writes. A change rewrites the tables and swaps them in one after the other
+by renames, so changes are best made for many documents at once, by one writer.
+A reader that opens a table between its two renames doesn't find it and has to
+try again.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from tidewell.operators import documents, search
 from tidewell.operators.documents import CHUNK
 from tidewell.operators.embedding import Embedder, HashingEmbedder, embed_query, index_documents
 from tidewell.plans import mutations
+from tidewell.sources.files import type_catalog
 
 DOC = T.StructType([
     T.StructField("doc_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("title", T.StringType()), T.StructField("content", T.StringType()),
     T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("size", T.LongType()), T.StructField("version", T.IntegerType()),
+    T.StructField("file_type", T.StringType()), T.StructField("uploaded_at", T.TimestampType()), T.StructField("chunk_count", T.LongType()),
 ])
 
 
@@ -55,13 +59,19 @@ class KnowledgeBase:
         return self._table("chunks", CHUNK)
 
     def _write(self, docs: DataFrame | None = None, chunks: DataFrame | None = None) -> None:
-        for name, df in (("chunks", chunks), ("docs", docs)):
-            if df is not None:
-                mutations.replace_table(self.spark, df, f"{self.path}/{name}")
+        mutations.replace_tables(self.spark, {f"{self.path}/{n}": df for n, df in (("chunks", chunks), ("docs", docs)) if df is not None})
 
     def _index(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return index_documents(docs.withColumnRenamed("content", "text"), self.size, self.overlap, self.make, self.doc_prefix)
 
+    def _labelled(self, docs: DataFrame) -> DataFrame:
+        """With the label of the type that the name's extension says."""
+        return documents.type_labels(docs.drop("file_type"), type_catalog(self.spark)).withColumnRenamed("label", "file_type").drop("ext")
+
+    def _counted(self, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+        n = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+        return docs.drop("chunk_count").join(n, "doc_id", "left").withColumn("chunk_count", F.coalesce("n", F.lit(0).cast("long"))).select(*DOC.names)
+
     # -- changes --
 
     def create(self, new: DataFrame) -> DataFrame:
@@ -72,23 +82,66 @@ class KnowledgeBase:
         name = with_extension(sanitize_file_name("name"), "kind")
         rows = new.where(sanitize_file_name("name") != "").select(
             F.substring(F.sha2(name, 256), 1, 32).alias("doc_id"), name.alias("name"), extract_title("content", name).alias("title"), "content",
-            clean_tags(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), F.octet_length("content").cast("long").alias("size"), F.lit(1).alias("version"),
+            clean_tags(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), F.octet_length("content").cast("long").alias("size"), F.lit(1).alias("version"), F.current_timestamp().alias("uploaded_at"),
         )
-        one = mutations.last_write(rows, ["doc_id"], ["content"])
+        large = rows.where(documents.too_large(F.col("content")))
+        one = self._labelled(mutations.last_write(rows.where(~documents.too_large(F.coalesce("content", F.lit("")))), ["doc_id"], ["content"]))
         table, failed = self._index(one)
-        self._write(mutations.create_document(self.docs(), one), mutations.replace_matching(self.chunks(), one.select("doc_id").join(table, "doc_id", "left").where("chunk_index is not null"), ["doc_id"]))
-        return one.select("doc_id").join(failed, "doc_id", "left")
+        chunks = mutations.replace_matching(self.chunks(), one.select("doc_id").join(table, "doc_id", "left").where("chunk_index is not null"), ["doc_id"])
+        self._write(mutations.create_document(self.docs(), self._counted(one, table)), chunks)
+        return one.select("doc_id").join(failed, "doc_id", "left").unionByName(large.select("doc_id", F.lit("too large").alias("error")))
 
-    def update(self, changes: DataFrame, append_text: bool = False) -> None:
-        """Content and tags of ``doc_id`` as far as given; changed content is indexed anew."""
-        docs = mutations.update_document(self.docs(), changes, append_text).withColumn("size", F.octet_length("content").cast("long"))
-        changed = docs.join(changes.select("doc_id"), "doc_id", "left_semi")
+    def update(self, changes: DataFrame, append_text: bool = False) -> DataFrame:
+        """Name, content and tags of ``doc_id`` as far as given; changed content is indexed anew.
+
+        ``tags`` replaces, ``add_tags`` and ``remove_tags`` change; an empty name
+        after cleaning changes nothing. The version stays. Returns ``(doc_id,
+        error)`` of the changes that were not made: unknown documents, and texts
+        that would be too large.
+        """
+        old = self.docs()
+        changes = mutations.one_each(changes, ["doc_id"])
+        asked = changes.join(old.select("doc_id", "tags", "content").withColumnsRenamed({"tags": "_tags", "content": "_old"}), "doc_id")
+        unknown = changes.join(old, "doc_id", "left_anti").select("doc_id", F.lit("not found").alias("error"))
         if "content" in changes.columns:
-            kept = mutations.delete_matching(self.chunks(), changes, ["doc_id"])
-            chunks = kept.unionByName(self._index(changed)[0])
+            whole = F.concat_ws("\n", "_old", "content") if append_text else F.coalesce("content", "_old")
+            large = documents.too_large(F.coalesce(whole, F.lit("")))
+            unknown = unknown.unionByName(asked.where(large).select("doc_id", F.lit("too large").alias("error")))
+            asked = asked.where(~large)
+        refused = self.spark.createDataFrame(unknown.collect(), "doc_id string, error string")  # before the tables change
+        if "name" in changes.columns:
+            asked = asked.withColumn("name", F.nullif(sanitize_file_name("name"), F.lit("")))
+        if {"add_tags", "remove_tags"} & set(changes.columns):
+            given = F.coalesce("tags", "_tags") if "tags" in changes.columns else F.col("_tags")
+            none = F.lit(None).cast("array<string>")
+            parts = (F.col(c) if c in changes.columns else none for c in ("add_tags", "remove_tags"))
+            asked = asked.withColumn("tags", documents.edit_tag_arrays(given, *parts))
+        asked = asked.drop("_tags", "_old")
+        docs = mutations.update_document(old, asked, append_text).withColumn("size", F.octet_length("content").cast("long"))
+        if "name" in changes.columns:
+            docs = self._labelled(docs)
+        changed = docs.join(asked.select("doc_id"), "doc_id", "left_semi")
+        if "content" in changes.columns:
+            chunks = mutations.delete_matching(self.chunks(), asked, ["doc_id"]).unionByName(self._index(changed)[0])
         else:
             chunks = mutations.retag(self.chunks(), changed.select("doc_id", "tags"))
-        self._write(docs, chunks)
+        self._write(self._counted(docs, chunks), chunks)
+        return refused
+
+    def update_files(self, files: DataFrame) -> None:
+        """New files ``(doc_id, name, content)`` for known documents: the version counts up, id and tags stay."""
+        new = mutations.one_each(files.where(~documents.too_large(F.coalesce("content", F.lit("")))).select("doc_id", F.col("name").alias("_name"), F.col("content").alias("_content")), ["doc_id"])
+        docs = self.docs().join(new.withColumn("_new", F.lit(True)), "doc_id", "left")
+        is_new = F.coalesce("_new", F.lit(False))
+        docs = docs.withColumns({
+            "name": F.when(is_new, F.coalesce("_name", "name")).otherwise(F.col("name")), "content": F.when(is_new, F.col("_content")).otherwise(F.col("content")),
+            "version": F.col("version") + is_new.cast("int"), "uploaded_at": F.when(is_new, F.current_timestamp()).otherwise(F.col("uploaded_at")),
+        })
+        docs = docs.withColumns({"title": F.when(is_new, extract_title("content", F.col("name"))).otherwise(F.col("title")), "size": F.octet_length("content").cast("long")})
+        changed = docs.where(is_new)
+        docs = self._labelled(docs).select(*DOC.names)
+        chunks = mutations.delete_matching(self.chunks(), new, ["doc_id"]).unionByName(self._index(changed.select(*DOC.names))[0])
+        self._write(self._counted(docs, chunks), chunks)
 
     def set_tags(self, tags: DataFrame) -> None:
         """Replace the tags of ``(doc_id, tags)``; vectors and ids of chunks stay."""
@@ -107,6 +160,10 @@ class KnowledgeBase:
 
     # -- reading --
 
+    def listed(self, query: str = "") -> DataFrame:
+        """Documents, newest first."""
+        return documents.list_docs(self.docs(), query, key="doc_id")
+
     def get(self, doc_id: str) -> DataFrame:
         return self.docs().where(F.col("doc_id") == doc_id)
 

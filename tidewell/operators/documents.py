@@ -50,6 +50,19 @@ def edit_tags(tags: Column, add: list[str], remove: list[str]) -> Column:
     return out
 
 
+def edit_tag_arrays(tags: Column, add: Column, remove: Column) -> Column:
+    """As ``edit_tags``, with what to add and remove in columns; null changes nothing."""
+    none = F.array().cast("array<string>")
+    gone = F.transform(F.filter(F.coalesce(remove, none), lambda r: strip(r) != ""), lambda r: F.lower(strip(r)))
+    left = F.filter(F.coalesce(tags, none), lambda t: ~F.array_contains(gone, F.lower(strip(t))))
+
+    def put(have: Column, t: Column) -> Column:
+        there = F.exists(have, lambda x: fold_ascii(strip(x)) == fold_ascii(strip(t)))
+        return F.when((strip(t) == "") | there, have).otherwise(F.concat(have, F.array(strip(t))))
+
+    return F.aggregate(F.coalesce(add, none), left, put)
+
+
 def token_windows(docs: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
     """Fixed windows of words, ``(doc_id, chunk_index, chunk_text, n_tokens)``.
 

@@ -103,20 +103,28 @@ def remove_members(members: Column, gone: Column) -> Column:
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str, files: int | None = None) -> None:
-    """Write beside the table, then swap by rename; with ``files``, compacted to so many.
+    """Write beside the table, then swap by rename; with ``files``, compacted to so many."""
+    replace_tables(spark, {path: df if files is None else df.repartition(files)})
 
-    Between the two renames the table isn't there; a job that dies there leaves it
-    whole beside its place, as ``.new`` and ``.old``.
+
+def replace_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
+    """Write all tables, by path, beside what they replace, then swap one after the other.
+
+    So each may be made of all the old ones. Between the two renames of a swap
+    its table isn't there; a job that dies there leaves it whole beside its
+    place, as ``.new`` and ``.old``.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    (df if files is None else df.repartition(files)).write.parquet(new)
-    here = hadoop.Path(path)
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(here):
-        fs.rename(here, hadoop.Path(old))
-    fs.rename(hadoop.Path(new), here)
-    fs.delete(hadoop.Path(old), True)
+    staged = {path: f"{path}.{uuid.uuid4().hex}" for path in tables}
+    for path, df in tables.items():
+        df.write.parquet(f"{staged[path]}.new")
+    for path, beside in staged.items():
+        here, new, old = hadoop.Path(path), hadoop.Path(f"{beside}.new"), hadoop.Path(f"{beside}.old")
+        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(here):
+            fs.rename(here, old)
+        fs.rename(new, here)
+        fs.delete(old, True)
 
 
 def table_size(spark: SparkSession, path: str) -> int:
