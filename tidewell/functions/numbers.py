@@ -24,17 +24,25 @@ def literal_vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine similarity; null where a vector is zero."""
+    x, y = as_doubles(a), as_doubles(b)
+    return dot(x, y) / F.nullif(norm(x) * norm(y), F.lit(0.0))
+
+
+def as_score(similarity: Column) -> Column:
+    """A cosine similarity clamped to 0..1; null, that of a zero vector, is like nothing."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(similarity, F.lit(0.0))))
+
+
 def cosine_score(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity clamped to 0..1; a zero vector is like nothing."""
-    x, y = as_doubles(a), as_doubles(b)
-    length = norm(x) * norm(y)
-    return F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / length))).otherwise(F.lit(0.0))
+    return as_score(cosine(a, b))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     """1 - cosine; null where a vector is zero."""
-    x, y = as_doubles(a), as_doubles(b)
-    return F.lit(1.0) - dot(x, y) / F.nullif(norm(x) * norm(y), F.lit(0.0))
+    return F.lit(1.0) - cosine(a, b)
 
 
 def l2_normalize(v: Column | str, eps: float = 1e-12) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.numbers import cosine_distance, cosine_score, literal_vector
+from tidewell.functions.numbers import as_score, cosine, cosine_distance, literal_vector
 from tidewell.functions.text import fold_ascii
 
 KEY = ["doc_id", "chunk_index"]
@@ -135,7 +135,11 @@ def hybrid_search(
     fetch = s.max_results * (4 if wanted else 2)
     about = ["doc_name", "chunk_text", "tags"]
     none = chunks.select(*KEY, *about).limit(0)
-    by_vector = nearest(chunks, vector, fetch).select(*KEY, *about, cosine_score("embedding", literal_vector(vector)).alias("vs")) if s.vector_weight > 0 else none.withColumn("vs", F.lit(0.0))
+    by_vector = none.withColumn("vs", F.lit(0.0))
+    if s.vector_weight > 0:  # the scan of all vectors reads no text; texts of the few winners are fetched by key
+        near = chunks.select(*KEY, cosine("embedding", literal_vector(vector)).alias("cosine"))
+        near = near.orderBy(F.coalesce(F.lit(1.0) - F.col("cosine"), F.lit(1.0)), *KEY).limit(fetch)
+        by_vector = chunks.select(*KEY, *about).join(F.broadcast(near), KEY).select(*KEY, *about, as_score(F.col("cosine")).alias("vs"))
     by_word = keyword_hits(chunks, query, fetch).select(*KEY, *about, match_ratio(F.col("chunk_text"), query).alias("ks")) if s.keyword_weight > 0 else none.withColumn("ks", F.lit(0.0))
     both = by_vector.alias("v").join(by_word.alias("k"), KEY, "full_outer").select(
         *KEY, *(F.coalesce(f"v.{c}", f"k.{c}").alias(c) for c in about), F.coalesce("vs", F.lit(0.0)).alias("vs"), F.coalesce("ks", F.lit(0.0)).alias("ks")
