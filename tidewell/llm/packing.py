@@ -196,20 +196,26 @@ def plan(histogram: dict[int, int], size: int = 4096) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
-def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, salts: int = 64, group: int = 1 << 16) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``.
 
-    A null or empty text is the end id alone. Repeated rows are packed as
-    often as they came; an empty table gives no rows.
+    A null or empty text is the end id alone, a very long one is cut whole.
+    Repeated rows and rows without an id are packed as often as they came;
+    pieces that tie in id and number are ordered by their digest, and equal ones
+    may change places. Other columns aren't read. An empty table gives no rows.
+    Each length is ranked in ``salts`` groups, more where more than ``group``
+    pieces would share one.
     """
     cut = materialize(pieces(docs, path, size, end_id), "packing-pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
+    salts = max(salts, -(-max(histogram.values(), default=0) // group))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select(
         "length", "salt",
         (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"),
     )
-    rows = plan({r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
+    rows = plan(histogram, size)
     most = int(rows[:, 2].max()) + 1 if len(rows) else 1
     starts = rows[:, 0] * most + rows[:, 1]
 
@@ -220,7 +226,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, salts: i
         return {"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "sequence_id": rows[at, 4] + nth, "offset": rows[at, 5] + copy * length_}
 
     ranked = salted.join(before, ["length", "salt"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     )
     return map_columns(
         ranked, ["doc_id", "piece", "start", "length", "ids_crc32", "rank"],
