@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewell.llm import decontaminate, fingerprint, licenses, oracles, packing, pii, secrets, simhash, substrings, tokens, toxicity
+from tidewell.llm import decontaminate, fingerprint, hosts, interactions, licenses, oracles, packing, pii, secrets, simhash, substrings, tokens, toxicity, whitening
 from tidewell.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark, sf_dir):
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filter(spark, sf_dir):
+    return hosts.judge(table(spark, sf_dir, "pages"), hosts.outcomes_of(table(spark, sf_dir, "labels")))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secrets": op2_secrets,
@@ -59,10 +71,15 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": oracles.SUBSTRINGS,
     "op6_decontaminate": oracles.DECONTAMINATE,
     "op9_licenses": licenses.oracle(),
+    "op11_filter_interactions": oracles.INTERACTIONS,
+    "op12_url_filter": oracles.URL_FILTER,
 }
