@@ -6,6 +6,7 @@ import pytest
 from tidewell.operators.chunking import chunk_documents, chunk_text, effective_size, word_count
 from tidewell.operators.embedding import HashingEmbedder, index_documents, reindex
 from tidewell.plans import mutations
+from tidewell.tables import Tables
 
 
 def invariants(name, text, size, overlap):
@@ -80,7 +81,7 @@ def test_mutations(spark, tmp_path):
     assert got(mutations.replace_matching(before, rows, ["k"])) == [(1, "a"), (2, "B"), (3, "C")]
     assert got(mutations.delete_matching(before, rows, ["k"])) == [(1, "a")]
     assert mutations.truncate(before)[1] == 2
-    path = str(tmp_path / "t")
-    mutations.replace_table(spark, before, path)
-    mutations.replace_table(spark, mutations.append(spark.read.parquet(path), rows), path, files=1)
-    assert spark.read.parquet(path).count() == 4 and mutations.table_size(spark, path) > 0
+    tables = Tables(spark, str(tmp_path / "t"))
+    tables.change(lambda now: {"t": before})
+    tables.change(lambda now: {"t": mutations.append(now.read("t"), rows).coalesce(1)})
+    assert tables.read("t").count() == 4 and mutations.table_size(spark, f"{tables.root}/{tables.snapshot().parts('t')[0]['path']}") > 0

@@ -59,3 +59,47 @@ def test_tags_names_and_files(spark, base, monkeypatch):
     monkeypatch.setattr(documents.too_large, "__defaults__", (5,))
     refused = base.update(spark.createDataFrame([(notes, "longer than five")], "doc_id string, content string")).collect()
     assert [(r.doc_id, r.error) for r in refused] == [(notes, "too large")] and base.get(notes).first().content.startswith("# Cats")
+
+
+def test_stored_tag_statistics_follow_any_chain_of_changes(spark, tmp_path):
+    """After each of a random chain of changes the stored counts are those of a recount."""
+    import random
+
+    from tidewell.operators import documents
+
+    rng = random.Random(11)
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), chunk_size=8, chunk_overlap=0)
+    names = [f"n{i}.md" for i in range(6)]
+    some_tags = lambda: [rng.choice(["a", "A", "b", "c", "", " b "]) for _ in range(rng.randint(0, 4))]
+    counts = lambda df: {r.tag: r.file_count for r in df.collect()}
+    for _ in range(14):
+        chosen = rng.sample(names, rng.randint(1, 3))
+        ids = [document_id(n) for n in chosen]
+        step = rng.choice(["create", "create", "set", "edit", "delete", "files", "content"])
+        if step == "create":
+            kb.create(spark.createDataFrame([(n, "md", f"text of {n} {rng.random()}", some_tags()) for n in chosen], NEW))
+        elif step == "set":
+            kb.set_tags(spark.createDataFrame([(i, some_tags()) for i in ids], "doc_id string, tags array<string>"))
+        elif step == "edit":
+            kb.update(spark.createDataFrame([(i, some_tags(), some_tags()) for i in ids], "doc_id string, add_tags array<string>, remove_tags array<string>"))
+        elif step == "delete":
+            kb.delete(spark.createDataFrame([(i,) for i in ids], "doc_id string"))
+        elif step == "files":
+            kb.update_files(spark.createDataFrame([(i, n, "new text") for i, n in zip(ids, chosen, strict=True)], "doc_id string, name string, content string"))
+        else:
+            kb.update(spark.createDataFrame([(i, "more") for i in ids], "doc_id string, content string"), append_text=True)
+        assert counts(kb.tag_stats()) == counts(documents.tag_stats(kb.docs()))
+    kb.compact()
+    stored = counts(kb.tag_stats())
+    kb.rebuild_tag_stats()
+    assert counts(kb.tag_stats()) == stored == counts(documents.tag_stats(kb.docs()))
+
+
+def test_reports_outlive_the_change(spark, base):
+    """What a change reports is written with it, so later changes don't alter it."""
+    schema = "doc_id string, content string"
+    refused = base.update(spark.createDataFrame([(f"no{i}", "x") for i in range(50)], schema))
+    made = base.create(spark.createDataFrame([("new.md", "md", "one two three four five six", []), ("empty.md", "md", "", None)], NEW))
+    base.delete(base.docs().select("doc_id"))
+    assert refused.count() == 50 and base.docs().count() == base.chunks().count() == base.tag_stats().count() == 0
+    assert {r.doc_id: (r.chunk_count, r.error) for r in made.collect()} == {document_id("new.md"): (2, None), document_id("empty.md"): (0, None)}

@@ -73,6 +73,32 @@ def test_nearest_to_each_in_blocks(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and all(r.doc_id % 5 == r.query_id for r in one)
 
 
+def test_grid_equals_brute_force(spark):
+    """More queries than are sent to all: blocks on a grid, with ties, zero vectors and null ones; each chunk is scanned once."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2, 3, (400, 5)).astype(float)
+    base[::37] = 0
+    v = [(i % 90, i // 90, list(map(float, x)) if i % 50 else None) for i, x in enumerate(base)]
+    q = [(i, list(map(float, base[i * 3]))) for i in range(60)]
+    chunks = spark.createDataFrame(v, "doc_id long, chunk_index long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(q, "query_id long, vector array<float>")
+    unit = lambda x: np.array(x or [0.0] * 5) / max(np.linalg.norm(x or [0.0] * 5), 1e-300)
+    want = {}
+    for i, x in q:
+        scored = sorted((-round(float(unit(x) @ unit(y)), 12) + 0.0, d, c) for d, c, y in v)[:7]
+        want[i] = [(d, c, r + 1) for r, (_, d, c) in enumerate(scored)]
+    for options in ({"max_queries": 4096}, {"max_queries": 10, "rows": 16}, {"max_queries": 10, "rows": 1000}, {"max_queries": 0}):
+        found = search.nearest_to_each(asked, chunks, 7, **options)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append((r.doc_id, r.chunk_index, r["rank"]))
+        assert got == want, options
+    none = asked.where("false")
+    assert search.nearest_to_each(none, chunks, 3).count() == 0 and search.nearest_to_each(asked, chunks.where("false"), 3, max_queries=1).count() == 0
+
+
 def test_ties_of_one_common_vector_follow_the_key(spark):
     chunks = spark.createDataFrame([(i, 0, [1.0, 1.0]) for i in range(400)], "doc_id long, chunk_index long, embedding array<float>").repartition(3)
     asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0])], "query_id long, vector array<float>")

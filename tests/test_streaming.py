@@ -75,6 +75,30 @@ def test_pages_and_retention(spark):
     assert activity.retention_counts(log.withColumn("created_at", F.lit(None).cast("timestamp_ntz")), "2024-01-31 00:00:00").first().kept == 10
 
 
+def test_deep_pages_by_ranges(spark):
+    """Pages anywhere equal those of an offset: falling and rising columns, nulls, ties, strings, one value for a third of the rows."""
+    rows = [(i, None if i % 7 == 0 else (i * 37) % 101, "x" if i % 3 == 0 else f"s{i % 50}", None if i % 11 == 0 else at(i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, n int, s string, created_at timestamp_ntz").repartition(4)
+    for order in (["-n", "id"], ["n", "-s", "id"], ["-created_at", "-id"], ["s", "-created_at", "id"]):
+        plain = df.orderBy(*(F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order)).collect()
+        for skip, n in ((0, 5), (50, 20), (999, 40), (1500, 1), (2980, 50), (2999, 1), (3000, 5), (9999, 5)):
+            assert activity.rows_at(df, order, skip, n, most=60, ranges=8).collect() == plain[skip : skip + n], (order, skip)
+    same = df.select(F.lit(1).alias("k"))
+    assert activity.rows_at(same, ["k"], 2000, 5, most=60, ranges=8).count() == 5
+    assert activity.rows_at(df.where("false"), ["id"], 100, 5, most=60).count() == 0
+    assert activity.newest_page(df, 3, 10).collect() == activity.rows_at(df, ["-created_at", "-id"], 20, 10, most=3).collect()
+
+
+def test_a_deep_page_sorts_one_range(spark):
+    df = spark.range(100_000)
+    page = activity.rows_at(df, ["-id"], 99_000, 10, most=1000)
+    assert [r.id for r in page.collect()] == list(range(999, 989, -1))
+    from pyspark.sql import DataFrame
+
+    limits = [int(x) for x in __import__("re").findall(r"TakeOrderedAndProject\(limit=(\d+)", page._jdf.queryExecution().executedPlan().toString())]
+    assert isinstance(page, DataFrame) and limits and max(limits) < 4000
+
+
 def test_routing_prefers_prefix_then_order(spark):
     filters = spark.createDataFrame([("a", None, 0), ("a-b", None, 1)], "name string, tools array<string>, ord long")
     tools = spark.createDataFrame([("a", "b-c"), ("a-b", "c"), ("a-b", "d")], "server_name string, name string")

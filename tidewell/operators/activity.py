@@ -46,7 +46,7 @@ def page_bounds(page: int | None, size: int | None, default: int, most: int = 20
 def newest_page(log: DataFrame, page: int | None = None, size: int | None = None, default: int = 20, key: str = "id", where: Column | None = None) -> DataFrame:
     """A page by falling time, ties by the key."""
     skip, n = page_bounds(page, size, default)
-    return log.where(F.lit(True) if where is None else where).orderBy(F.desc("created_at"), F.desc(key)).offset(skip).limit(n)
+    return rows_at(log.where(F.lit(True) if where is None else where), ["-created_at", f"-{key}"], skip, n)
 
 
 def after_cursor(df: DataFrame, key: str, cursor, n: int) -> DataFrame:
@@ -54,7 +54,64 @@ def after_cursor(df: DataFrame, key: str, cursor, n: int) -> DataFrame:
     return (df if cursor is None else df.where(F.col(key) > F.lit(cursor))).orderBy(key).limit(n)
 
 
-def clamped_page(df: DataFrame, order: list, page: int, size: int, empty_pages: int = 1) -> DataFrame:
+def _stands(order: list[str], edge: tuple) -> tuple[Column, Column]:
+    """Whether a row stands after an edge in the order, and whether at it; nulls are first, or last where it falls."""
+    after, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, edge, strict=True):
+        c, falls = F.col(name.removeprefix("-")), name.startswith("-")
+        if value is None:
+            later = F.lit(False) if falls else c.isNotNull()
+        else:
+            later = c.isNull() | (c < F.lit(value)) if falls else c.isNotNull() & (c > F.lit(value))
+        after = after | (same & later)
+        same = same & c.eqNullSafe(F.lit(value))
+    return after, same
+
+
+def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
+    return df.orderBy(*(F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order))
+
+
+def rows_at(df: DataFrame, order: list[str], skip: int, n: int, most: int = 20_000, ranges: int = 64) -> DataFrame:
+    """``n`` rows from the place ``skip`` on, by ``order``; a column with ``-`` falls.
+
+    While the place is beyond ``most`` the rows are counted by ranges: edges come from a
+    sample by hash, each range's rows are counted in one pass, and only those that hold the page stay, by a
+    filter between two edges. So no task sorts or holds more than one range and the page, however deep
+    it is. The order should end in a key: rows that are equal in it can't be parted by ranges.
+    """
+    names = [c.removeprefix("-") for c in order]
+    total = None
+    while skip > most:
+        total = df.count() if total is None else total
+        if skip >= total:
+            return df.limit(0)
+        step = max(1, total // (ranges * 32))
+        sample = _sorted(df.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0).distinct(), order).collect()
+        edges = [tuple(r) for r in sample[:: max(1, len(sample) // ranges)]]
+        place = sum((F.when(after | same, 1).otherwise(0) for after, same in (_stands(order, e) for e in edges)), F.lit(0))
+        counts = dict(df.groupBy(place.alias("r")).count().collect())
+        first, before = 0, 0
+        while before + counts.get(first, 0) <= skip:
+            before += counts.get(first, 0)
+            first += 1
+        last, until = first, before + counts.get(first, 0)
+        while until < min(skip + n, total):
+            last += 1
+            until += counts.get(last, 0)
+        if until - before >= total:
+            break  # one range holds all: equal rows
+        if first > 0:
+            after, same = _stands(order, edges[first - 1])
+            df = df.where(after | same)
+        if last < len(edges):
+            after, same = _stands(order, edges[last])
+            df = df.where(~(after | same))
+        total, skip = until - before, skip - before
+    return _sorted(df, order).offset(skip).limit(n)
+
+
+def clamped_page(df: DataFrame, order: list[str], page: int, size: int, empty_pages: int = 1) -> DataFrame:
     """Rows of a page whose number is clamped to those there are, with the page's facts.
 
     The rows are counted first, so the page is a limit of its own, not a rank over all.
@@ -62,7 +119,7 @@ def clamped_page(df: DataFrame, order: list, page: int, size: int, empty_pages:
     total = df.count()
     pages = max(empty_pages, -(-total // size))
     at = min(max(1, page), max(pages, 1))
-    return df.orderBy(*order).offset((at - 1) * size).limit(size).select(
+    return rows_at(df, order, (at - 1) * size, size).select(
         "*", F.lit(at).alias("page"), F.lit(total).cast("bigint").alias("total"), F.lit(pages).alias("total_pages"),
         F.lit(at < pages).alias("has_next"), F.lit(at > 1).alias("has_prev"),
     )

@@ -128,6 +128,18 @@ def apply_overrides(tools: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumns({"enabled": F.coalesce("o_enabled", F.lit(True)), "description": F.coalesce("o_description", "description")}).drop("o_enabled", "o_description")
 
 
+def tools_by_server(tools: DataFrame, overrides: DataFrame, size: int = 10_000) -> DataFrame:
+    """``(server_name, slice, tools)``: each server's tools with their overrides, ordered by name.
+
+    A server of more than ``size`` tools has several slices, dealt by name, so that no row and
+    no task gathers more than about that many.
+    """
+    each = apply_overrides(tools, overrides)
+    slices = each.groupBy("server_name").agg(F.ceil(F.count("*") / F.lit(float(size))).alias("_slices"))
+    dealt = each.join(slices, "server_name").withColumn("slice", F.pmod(F.xxhash64("name"), F.col("_slices")).cast("int"))
+    return dealt.groupBy("server_name", "slice").agg(F.sort_array(F.collect_list(F.struct("name", "enabled", "description"))).alias("tools"))
+
+
 def shape_for_protocol(tools: DataFrame, version: str) -> DataFrame:
     """Tool rows as a protocol version knows them; the oldest lacks annotations and output schemas."""
     return tools.drop("annotations", "output_schema") if version == "2024-11-05" else tools

@@ -115,8 +115,8 @@ def chunk_text(name: str, text: str, size: int, overlap: int, sizer: Sizer = wor
     return out
 
 
-def chunk_documents(docs: DataFrame, size: int = 1024, overlap: int = 100, sizer: Sizer = word_count) -> DataFrame:
-    """``(doc_id, doc_name, chunk_index, chunk_text, error)`` of ``(doc_id, name, text)``.
+def chunk_documents(docs: DataFrame, size: int = 1024, overlap: int = 100, sizer: Sizer = word_count, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, doc_name, chunk_index, chunk_text, error)`` of ``(doc_id, name, text)``, and the columns ``carry`` of each document.
 
     A document that fails has one row with its error and no text; the others go on.
     """
@@ -124,12 +124,13 @@ def chunk_documents(docs: DataFrame, size: int = 1024, overlap: int = 100, sizer
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, name, text in zip(b["doc_id"], b["name"], b["text"], strict=True):
+            for doc, name, text, *more in zip(b["doc_id"], b["name"], b["text"], *(b[c] for c in carry), strict=True):
                 try:
-                    rows += [(doc, name, i, c, None) for i, c in enumerate(chunk_text(name or "", text or "", size, overlap, sizer))]
+                    rows += [(doc, name, i, c, None, *more) for i, c in enumerate(chunk_text(name or "", text or "", size, overlap, sizer))]
                 except Exception as e:  # noqa: BLE001 - one document must not stop the rest
-                    rows.append((doc, name, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_name", "chunk_index", "chunk_text", "error"]).astype({"chunk_index": "Int64"})
+                    rows.append((doc, name, None, None, f"{type(e).__name__}: {e}", *more))
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_name", "chunk_index", "chunk_text", "error", *carry]).astype({"chunk_index": "Int64"})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "name", "text").mapInPandas(run, f"doc_id {kind}, doc_name string, chunk_index long, chunk_text string, error string")
+    kind = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *carry)}
+    schema = f"doc_id {kind['doc_id']}, doc_name string, chunk_index long, chunk_text string, error string" + "".join(f", {c} {kind[c]}" for c in carry)
+    return docs.select("doc_id", "name", "text", *carry).mapInPandas(run, schema)

@@ -30,6 +30,18 @@ def tag_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(F.filter("tags", lambda t: t != ""))).alias("tag")).groupBy("tag").agg(F.count("*").alias("file_count"))
 
 
+def tag_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(tag, change)``: what a change of documents adds to the statistics, from their rows as they were and as they are."""
+    each = lambda docs, sign: docs.select(F.explode(F.array_distinct(F.filter("tags", lambda t: t != ""))).alias("tag"), F.lit(sign).alias("change"))
+    return each(before, -1).unionByName(each(after, 1)).groupBy("tag").agg(F.sum("change").alias("change")).where("change <> 0")
+
+
+def add_tag_deltas(stats: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The statistics after a change; a tag that no document has is gone."""
+    both = stats.select("tag", "file_count").unionByName(deltas.select("tag", F.col("change").alias("file_count")))
+    return both.groupBy("tag").agg(F.sum("file_count").alias("file_count")).where("file_count <> 0")
+
+
 def search_tags(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Tags that hold any of the keys; empty keys are ignored."""
     out = F.lit(False)

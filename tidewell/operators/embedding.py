@@ -64,16 +64,26 @@ def embed_query(query: str, make: Callable[[], Embedder] = HashingEmbedder, pref
 
 
 def index_documents(
-    docs: DataFrame, size: int = 512, overlap: int = 100, make: Callable[[], Embedder] = HashingEmbedder, prefix: str = "", sizer: Sizer = word_count
-) -> tuple[DataFrame, DataFrame]:
-    """Chunk and embed ``(doc_id, name, text, tags)``: the chunk table, and ``(doc_id, error)`` of those that failed."""
-    parts = chunk_documents(docs, size, overlap, sizer)
-    good = parts.where("error is null").drop("error").join(docs.select("doc_id", "tags"), "doc_id")
+    docs: DataFrame, size: int = 512, overlap: int = 100, make: Callable[[], Embedder] = HashingEmbedder, prefix: str = "", sizer: Sizer = word_count,
+    hold: Callable[[DataFrame], DataFrame] = lambda parts: parts,
+) -> tuple[DataFrame, DataFrame]:
+    """Chunk and embed ``(doc_id, name, text, tags)``: the chunk table, and ``(doc_id, error)`` of those that failed.
+
+    Each document is read once; ``hold`` may write the chunks, so that those who ask for both don't chunk twice.
+    """
+    parts = hold(chunk_documents(docs, size, overlap, sizer, ("tags",)))
+    good = parts.where("error is null")
     keyed = good.withColumn("id", F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256))
     table = embed_chunks(keyed, make, prefix).select("id", "doc_id", "doc_name", "chunk_index", "chunk_text", "embedding", "tags")
     return table, parts.where("error is not null").select("doc_id", "error")
 
 
+def index_results(docs: DataFrame, table: DataFrame, failed: DataFrame) -> DataFrame:
+    """``(doc_id, chunk_count, error)`` of every document: how many chunks it has, or why it has none."""
+    n = table.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    return docs.select("doc_id").join(n, "doc_id", "left").join(failed, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0).cast("long")).alias("chunk_count"), "error")
+
+
 def reindex(chunks: DataFrame, docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """The chunk table with the given documents' chunks replaced, and what failed; failed ones keep their old chunks."""
     new, failed = index_documents(docs, **options)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,49 +46,99 @@ def nearest(chunks: DataFrame, vector: list[float], k: int, keys: list[str] = KE
     return found.orderBy("distance", *keys).limit(k)
 
 
-def nearest_to_each(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 4096) -> DataFrame:
-    """``k`` nearest chunks of each query ``(query_id, vector)``.
-
-    The queries are counted: up to ``max_queries`` are sent to all tasks, each
-    of which keeps ``k`` a query before anything is exchanged. More are taken
-    in blocks of that many.
+#: Digits to which cosines are compared, so that equal vectors tie whatever block they are in.
+DIGITS = 12
+#: Bytes of doubles that a block of vectors has in a task.
+BLOCK = 16 << 20
+_HITS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("chunk_index", pa.int64()), ("score", pa.float64())])
+
+
+def _matrix(column) -> np.ndarray:
+    """Unit vectors of an Arrow list column; zero vectors stay zero. Null vectors and entries count as zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    dim = int(lengths.max(initial=0))
+    out = np.zeros((len(column), dim))
+    out[np.arange(dim) < lengths[:, None]] = pc.fill_null(column.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _best(ids: np.ndarray, q: np.ndarray, doc: np.ndarray, chunk: np.ndarray, m: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """The ``k`` best rows of a block for each query, ties by key."""
+    order = np.lexsort((chunk, doc))
+    doc, chunk, m, n = doc[order], chunk[order], m[order], min(k, len(m))
+    out: dict[str, list] = {c: [np.empty(0, dtype=np.int64)] * (c != "score") + [np.empty(0)] * (c == "score") for c in _HITS.names}
+    for at in range(0, len(ids) if n else 0, 256):  # so many columns of scores at a time
+        score = np.round(m @ q[at : at + 256].T, DIGITS)
+        least = np.partition(score, len(m) - n, axis=0)[len(m) - n]
+        for j, query in enumerate(ids[at : at + 256]):
+            row = np.flatnonzero(score[:, j] >= least[j])  # all ties of the last place, in key order
+            row = row[np.argsort(-score[row, j], kind="stable")[:n]]
+            for name, value in zip(_HITS.names, (np.full(len(row), query), doc[row], chunk[row], score[row, j]), strict=True):
+                out[name].append(value)
+    return {c: np.concatenate(v) for c, v in out.items()}
+
+
+def _merged(parts: list[dict[str, np.ndarray]], k: int) -> dict[str, np.ndarray]:
+    """The ``k`` best of each query among several blocks' hits."""
+    all_ = {c: np.concatenate([p[c] for p in parts]) for c in _HITS.names}
+    order = np.lexsort((all_["chunk_index"], all_["doc_id"], -all_["score"], all_["query_id"]))
+    ids = all_["query_id"][order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, dtype=np.int64)
+    rank = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+    return {c: v[order][rank < k] for c, v in all_.items()}
+
+
+def _near_few(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Hits of a few queries, which all tasks get: each keeps ``k`` a query before anything is exchanged."""
+    rows = queries.toArrow()
+    held = chunks.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(rows["vector"])))
+
+    def best(batches):
+        ids, q = held.value
+        kept = None
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            hits = _best(ids, q, batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)), k)
+            kept = _merged([kept, hits], k) if kept else hits
+        if kept:
+            yield pa.RecordBatch.from_pydict(kept, schema=_HITS)
+
+    return chunks.mapInArrow(best, "query_id long, doc_id long, chunk_index long, score double")
+
+
+def _near_many(queries: DataFrame, chunks: DataFrame, k: int, rows: int, n_queries: int) -> DataFrame:
+    """Hits on a grid: each block of queries meets each block of chunks once, in a cell that holds only these two."""
+    q_blocks, v_blocks = -(-n_queries // rows), max(1, -(-chunks.count() // rows))
+    block = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(block(q_blocks, "query_id").alias("qb"), every(v_blocks).alias("vb"), "query_id", "vector")
+    there = chunks.select(every(q_blocks).alias("qb"), block(v_blocks, "doc_id", "chunk_index", "embedding").alias("vb"), *chunks.columns)
+
+    def cell(q: pa.Table, v: pa.Table) -> pa.Table:
+        hits = _best(q["query_id"].to_numpy(), _matrix(q["vector"]), v["doc_id"].to_numpy(), v["chunk_index"].to_numpy(), _matrix(v["embedding"]), k)
+        return pa.Table.from_pydict(hits, schema=_HITS)
+
+    return asked.groupBy("qb", "vb").cogroup(there.groupBy("qb", "vb")).applyInArrow(cell, "query_id long, doc_id long, chunk_index long, score double")
+
+
+def nearest_to_each(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 4096, rows: int | None = None) -> DataFrame:
+    """``k`` nearest chunks of each query ``(query_id, vector)``: ``(query_id, doc_id, chunk_index, score, rank)``.
+
+    The chunks are scanned once for any number of queries. The queries are counted: up to
+    ``max_queries`` are sent to all tasks. More of them are dealt to blocks, as are the chunks,
+    and the blocks meet on a grid; ``rows`` of a block come from its vectors' bytes. Each block keeps
+    ``k`` a query, so what meets in the end is small. Scores are compared to 12 digits, ties by key.
     """
-    spark = chunks.sparkSession
-    n = queries.count()
-    blocks = [queries] if n <= max_queries else [
-        queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // max_queries))) == i) for i in range(-(-n // max_queries))
-    ]
-    out = None
-    for block in blocks:
-        rows = block.select("query_id", "vector").toPandas()
-        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack(rows["vector"].to_list()).astype("float64") if len(rows) else np.zeros((0, 1))))
-
-        def best(batches, held=held):
-            ids, q = held.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            kept: pd.DataFrame | None = None
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                pdf = pdf.sort_values(["doc_id", "chunk_index"], kind="stable")
-                m = np.stack(pdf["embedding"].to_list()).astype("float64")
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                doc, chunk, parts, n = pdf["doc_id"].to_numpy(), pdf["chunk_index"].to_numpy(), [], min(k, len(pdf))
-                for at in range(0, len(ids), 256):  # so many columns of scores at a time
-                    score = m @ q[at : at + 256].T
-                    least = np.partition(score, len(pdf) - n, axis=0)[len(pdf) - n]
-                    for j, query in enumerate(ids[at : at + 256]):
-                        # All ties of the last place, in key order, then the first n by score.
-                        row = np.flatnonzero(score[:, j] >= least[j])
-                        row = row[np.argsort(-score[row, j], kind="stable")[:n]]
-                        parts.append(pd.DataFrame({"query_id": query, "doc_id": doc[row], "chunk_index": chunk[row], "score": score[row, j]}))
-                kept = pd.concat(parts if kept is None else [kept, *parts])
-                kept = kept.sort_values(["query_id", "score", "doc_id", "chunk_index"], ascending=[True, False, True, True]).groupby("query_id").head(k)
-            if kept is not None:
-                yield kept
-
-        part = chunks.select("doc_id", "chunk_index", "embedding").mapInPandas(best, "query_id long, doc_id long, chunk_index long, score double")
-        out = part if out is None else out.unionByName(part)
+    asked, there = queries.select("query_id", "vector"), chunks.select("doc_id", "chunk_index", "embedding")
+    n = asked.count()
+    if n <= max_queries:
+        out = _near_few(asked, there, k)
+    else:
+        dim = asked.agg(F.max(F.size("vector"))).first()[0]
+        out = _near_many(asked, there, k, rows or max(256, BLOCK // (8 * max(dim, 1))), n)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

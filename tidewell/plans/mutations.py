@@ -1,13 +1,11 @@
 """Changes to tables as functions from what was to what will be.
 
 Parquet has no MERGE, so a change is a join of the old rows with the changes.
-``replace_table`` then writes the result beside the table and swaps it in.
+``tidewell.tables`` makes results of several changes current at once.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,31 +100,6 @@ def remove_members(members: Column, gone: Column) -> Column:
     return F.filter(members, lambda m: ~F.array_contains(gone, m))
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str, files: int | None = None) -> None:
-    """Write beside the table, then swap by rename; with ``files``, compacted to so many."""
-    replace_tables(spark, {path: df if files is None else df.repartition(files)})
-
-
-def replace_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
-    """Write all tables, by path, beside what they replace, then swap one after the other.
-
-    So each may be made of all the old ones. Between the two renames of a swap
-    its table isn't there; a job that dies there leaves it whole beside its
-    place, as ``.new`` and ``.old``.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    staged = {path: f"{path}.{uuid.uuid4().hex}" for path in tables}
-    for path, df in tables.items():
-        df.write.parquet(f"{staged[path]}.new")
-    for path, beside in staged.items():
-        here, new, old = hadoop.Path(path), hadoop.Path(f"{beside}.new"), hadoop.Path(f"{beside}.old")
-        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(here):
-            fs.rename(here, old)
-        fs.rename(new, here)
-        fs.delete(old, True)
-
-
 def table_size(spark: SparkSession, path: str) -> int:
     """Bytes of a table's files."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
