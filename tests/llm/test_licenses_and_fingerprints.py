@@ -62,10 +62,21 @@ def test_any_number_of_ranges(spark, documents, texts):
 
 def test_ranges_of_edges(spark):
     for edges in ([], [5], [1, 2, 3], list(range(0, 50, 3)), list(range(7))):
-        got = spark.range(-2, 60).select("id", fingerprint._below(edges, F.col("id")).alias("n")).collect()
+        got = spark.range(-2, 60).select("id", fingerprint._below(F.lit(edges).cast("array<bigint>"), F.col("id")).alias("n")).collect()
         assert all(r.n == sum(e < r.id for e in edges) for r in got)
 
 
+def test_ids_over_the_whole_range(spark):
+    """Hashed ids lie further apart than a long holds."""
+    ids = [-(2**63), -(2**62), -5, 0, 3, 2**62, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {i}\nof {i % 3}") for i in ids], "doc_id long, text string").repartition(3)
+    for n in (None, 1, 40):
+        got = {r.doc_id: r.next.text for r in fingerprint.following(docs.withColumn("tie", F.lit(0)), ["text"], n).collect()}
+        down = sorted(ids, reverse=True)
+        assert got == {i: f"text {down[(k + 1) % len(ids)]}\nof {down[(k + 1) % len(ids)] % 3}" for k, i in enumerate(down)}
+    assert fingerprint.fingerprints(docs).count() == len(ids)
+
+
 def test_sums_and_differences(spark):
     rows = [("a\nb\nc", "c\n\nb", "a\nb\nc\nc\nb")]
     df = spark.createDataFrame(rows, "x string, y string, both string")

@@ -290,3 +290,26 @@ def test_toxicity_edges(spark, edge, nothing):
         assert len(rows) == edge.count() and all(0 <= r.p_toxic <= 1 for r in rows)
     assert toxicity.keep_clean(edge, labels.limit(0)).columns == edge.columns
     assert toxicity.classify(nothing, labels).count() == 0 and toxicity.keep_clean(nothing, labels).count() == 0
+
+
+def test_long_texts_of_numbers_need_little_memory(model):
+    """A megabyte of digits and dots beside short texts: the spans of each by itself, in bounded memory."""
+    import tracemalloc
+
+    short = [f"call +1 555 01{i % 10:02d} 77{i % 90 + 10} or write a{i}@b.org" for i in range(150)]
+    long = ["1.2.3.4." * 7500, "9" * 20_000 + " " + "127.0.0.1 " * 2000]
+    alone = [pii.model_spans(model, [t])[0] for t in long + short[:20]]
+    tracemalloc.start()
+    both = pii.model_spans(model, long[:1] + short + long[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [both[0], both[-1], *both[1:21]] == alone and peak < 150e6
+    tracemalloc.start()
+    pii.model_spans(model, ["12.5 " * 200_000, *short])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 450e6
+
+
+def test_a_dotted_card_is_no_address():
+    assert not pii.valid("ip", "4111.1111.1111.1111") and pii.valid("ip", "10.0.200.1") and not pii.valid("ip", "10.0.256.1") and not pii.valid("ip", "1.2.3.")

@@ -46,8 +46,8 @@ def test_stages_on_edges(spark, sf_dir, edge, nothing):
         assert stage(spark, edge, sf_dir).count() > 0, name
 
 
-def test_queries_are_the_ten(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_queries_are_the_thirteen(spark):
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert public_tokenizers.path("word_bpe_49k.json") not in str(QUERIES)
 

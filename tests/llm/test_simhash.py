@@ -118,14 +118,6 @@ def test_edges(edge, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_one_document_of_each_group_stays(edge, nothing):
-    kept = simhash.keep_one(edge)
-    assert kept.columns == edge.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(None) == 2 and 4 in ids and 5 not in ids and 2 not in ids and 1 in ids
-    assert simhash.keep_one(nothing).count() == 0
-
-
 def test_near_copy_is_found(spark):
     text = prose(900, 4)
     docs = spark.createDataFrame([(1, text), (2, text.replace("thor", "THOR", 1) + " end"), (3, prose(900, 9))], "doc_id long, text string")

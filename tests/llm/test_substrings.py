@@ -81,3 +81,35 @@ def test_a_path_with_a_hole_keeps_its_hole(spark):
     assert {p for a, z in spans for p in range(a, z)} == set(range(0, 69)) | set(range(40, 109)) and (0, 109) not in spans
     spans = [(x.doc_id, x.start, x.stop) for x in substrings.path_spans(spark.createDataFrame(whole + [(3, *x[1:]) for x in whole], schema), 50).collect()]
     assert spans == [(3, 0, 109)]
+
+
+def plain_rows(rows, window=50):
+    """As ``plain``, row by row: what a row loses is judged by its own words and by documents of smaller ids."""
+    first = {}
+    words_of = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, words in words_of:
+        for p in range(len(words) - window + 1 if i is not None else 0):
+            key = tuple(words[p : p + window])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, words in words_of:
+        gone = [False] * len(words)
+        for p in range(len(words) - window + 1 if i is not None else 0):
+            if first[tuple(words[p : p + window])] < i:
+                gone[p : p + window] = [True] * window
+        kept = [w for w, g in zip(words, gone, strict=True) if not g]
+        out.append((i or 0, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_that_share_an_id(spark, seed):
+    r = random.Random(seed)
+    a, b, own = (" ".join(f"{x}{r.randint(0, 99)}" for _ in range(n)) for x, n in (("a", 300), ("b", 300), ("c", 301)))
+    mixed = [" ".join(r.choice([a, b, own]).split()[r.randint(0, 150) : r.randint(200, 300)] + ["z"] * r.randint(0, 60)) for _ in range(25)]
+    for rows in (
+        [(1, a), (2, a), (2, "short text")], [(1, a), (2, own), (2, a)], [(1, a), (1, a), (1, b), (2, b + " " + a), (2, None), (None, a), (None, a)],
+        [(r.choice([None, 1, 2, 3, 4]), t) for t in mixed],
+    ):
+        df = spark.createDataFrame([(*x, 7, 8) for x in rows], "doc_id long, text string, tie long, start long").repartition(3)
+        assert sorted((x.doc_id or 0, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(df).collect()) == plain_rows(rows)

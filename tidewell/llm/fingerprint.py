@@ -116,7 +116,9 @@ def _edges(column: str, n: int, most: int = 512) -> Column:
     wide = min(n, most)
     each = -(-n // wide)
     q = F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(column, [i / wide for i in range(wide + 1)], 10_000), F.array().cast("array<bigint>"))))
-    between = lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: x + F.floor((F.coalesce(F.get(q, i + 1), x) - x) / each).cast("bigint") * j)
+    exact = lambda x: x.cast("decimal(20,0)")  # noqa: E731  ids may lie further apart than a long holds
+    step = lambda x, i: F.floor((exact(F.coalesce(F.get(q, i + 1), x)) - exact(x)) / each)
+    between = lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: (exact(x) + step(x, i) * j).cast("bigint"))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(q, between))))
 
 

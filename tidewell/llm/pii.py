@@ -26,6 +26,7 @@ import functools
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +303,10 @@ def window_scores(p: dict, texts: list[str], jobs: list[tuple[int, int, int]], b
     return out
 
 
+#: Places, sequences times the longest of them, that are decoded at once, but for one longer sequence.
+PLACES = 1 << 17
+
+
 def best_tags(scores: list[np.ndarray], moves: np.ndarray, batch: int = 512) -> list[np.ndarray]:
     """Viterbi tags of sequences of any length; places that are surely outside split them, which is exact."""
     tags = [np.zeros(len(s), dtype=np.int8) for s in scores]
@@ -311,8 +316,13 @@ def best_tags(scores: list[np.ndarray], moves: np.ndarray, batch: int = 512) ->
         if len(open_):
             runs += [(i, int(r[0]), int(r[-1]) + 1) for r in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1)]
     runs.sort(key=lambda r: r[2] - r[1])
-    for at in range(0, len(runs), batch):
-        part = runs[at : at + batch]
+    at = 0
+    while at < len(runs):
+        # Runs come by length: the last that still fits is the longest.
+        end = at + 1
+        while end < min(len(runs), at + batch) and (end + 1 - at) * (runs[end][2] - runs[end][1] + 2) <= PLACES:
+            end += 1
+        part, at = runs[at:end], end
         t = part[-1][2] - part[-1][1] + 2
         x = np.full((len(part), t, scores[0].shape[1]), -1e9)
         x[:, :, 0] = 0  # sure neighbours, and what is past the end, are outside
@@ -367,7 +377,7 @@ def valid(kind: str, part: str) -> bool:
     if kind == "email":
         return "@" in part and "." in part.split("@")[-1]
     if kind == "ip":
-        return len(digits) >= 4 and part.count(".") == 3
+        return part.count(".") == 3 and all(n and int(n) <= 255 for n in ("".join(c for c in x if c in "0123456789") for x in part.split(".")))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 8 <= len(digits) <= 15
@@ -383,6 +393,19 @@ def grown(text: str, kind: str, a: int, z: int) -> tuple[str, int, int]:
     return kind, a, z
 
 
+def grouped(jobs: list[tuple[int, int, int]], most: int = 1 << 18) -> Iterator[list[tuple[int, int, int]]]:
+    """The jobs in groups of so many characters, but for one longer stretch, as scores take many bytes a character."""
+    group, held = [], 0
+    for job in jobs:
+        if group and held + job[2] - job[1] > most:
+            yield group
+            group, held = [], 0
+        group.append(job)
+        held += job[2] - job[1]
+    if group:
+        yield group
+
+
 def model_spans(p: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans of each text that the model tags."""
     out: list[list] = [[] for _ in texts]
@@ -390,7 +413,8 @@ def model_spans(p: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     reach = REACH
     while jobs:
         wider: dict[int, list] = {}
-        for (i, a, z), tags in zip(jobs, best_tags(window_scores(p, texts, jobs), p["moves"]), strict=True):
+        found = ((job, tags) for group in grouped(jobs) for job, tags in zip(group, best_tags(window_scores(p, texts, group), p["moves"]), strict=True))
+        for (i, a, z), tags in found:
             spans = tagged(tags)
             left, right = bool(spans) and spans[0][1] == 0 and a > 0, bool(spans) and spans[-1][2] == z - a and z < len(texts[i])
             if left or right:

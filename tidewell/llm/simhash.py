@@ -146,12 +146,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group.
-
-    Rows that repeat a doc_id are one document and stay together; rows without
-    an id stay.
-    """
-    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

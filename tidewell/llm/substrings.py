@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_columns, materialize
 
+#: What tells one row of the table from another.
+ROW = ("doc_id", "tie")
 #: Odd factor of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -93,12 +95,12 @@ def _spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def paths(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """``(doc_id, minimizer, h1, h2, start, n)`` of every compacted path."""
+    """``(doc_id, tie, minimizer, h1, h2, start, n)`` of every compacted path."""
 
-    def run(ids, texts):
+    def run(ids, ties, texts):
         runs = Runs(k)
-        out: dict[str, list] = {c: [] for c in ("doc_id", "minimizer", "h1", "h2", "start", "n")}
-        for doc, text in zip(ids, texts, strict=True):
+        out: dict[str, list] = {c: [] for c in ("doc_id", "tie", "minimizer", "h1", "h2", "start", "n")}
+        for doc, tie, text in zip(ids, ties, texts, strict=True):
             words = (text or "").encode().split()
             if len(words) < window:
                 continue
@@ -107,41 +109,42 @@ def paths(docs: DataFrame, window: int, k: int) -> DataFrame:
             cut = zip(begin[first].tolist(), end[first + n + (window - 2)].tolist(), strict=True)
             halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:z]) for a, z in cut), dtype="<i8").reshape(-1, 2)
             out["doc_id"] += [doc] * len(first)
+            out["tie"] += [tie] * len(first)
             for name, values in (("minimizer", least), ("h1", halves[:, 0]), ("h2", halves[:, 1]), ("start", first), ("n", n)):
                 out[name].append(values)
-        return {c: v if c == "doc_id" else np.concatenate(v) if v else [] for c, v in out.items()}
+        return {c: v if c in ROW else np.concatenate(v) if v else [] for c, v in out.items()}
 
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, minimizer long, h1 long, h2 long, start int, n int", run)
+    return map_columns(docs, ["doc_id", "tie", "text"], "doc_id long, tie long, minimizer long, h1 long, h2 long, start int, n int", run)
 
 
 def windows(listed: DataFrame, window: int) -> DataFrame:
-    """``(doc_id, start, w1, w2)`` of each window of the listed paths."""
+    """``(doc_id, tie, start, w1, w2)`` of each window of the listed paths."""
 
-    def run(ids, texts, parts):
-        out: dict[str, list] = {c: [np.empty(0, dtype=np.int64)] for c in ("doc_id", "start", "w1", "w2")}
-        for doc, text, own in zip(ids, texts, parts, strict=True):
+    def run(ids, ties, texts, parts):
+        out: dict[str, list] = {c: [np.empty(0, dtype=np.int64)] for c in ("doc_id", "tie", "start", "w1", "w2")}
+        for doc, tie, text, own in zip(ids, ties, texts, parts, strict=True):
             joined, begin, end = _spans((text or "").encode().split())
             at = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in own])
             cut = zip(begin[at].tolist(), end[at + window - 1].tolist(), strict=True)
             halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:z]) for a, z in cut), dtype="<i8").reshape(-1, 2)
-            for name, values in zip(out, (np.full(len(at), doc), at, halves[:, 0], halves[:, 1]), strict=True):
+            for name, values in zip(out, (np.full(len(at), doc), np.full(len(at), tie), at, halves[:, 0], halves[:, 1]), strict=True):
                 out[name].append(values)
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    return map_columns(listed, ["doc_id", "text", "parts"], "doc_id long, start int, w1 long, w2 long", run)
+    return map_columns(listed, ["doc_id", "tie", "text", "parts"], "doc_id long, tie long, start int, w1 long, w2 long", run)
 
 
-def compacted(placed: DataFrame, max_rounds: int = 40) -> DataFrame:
+def compacted(placed: DataFrame, max_rounds: int = 40, row: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(node, head, rank, words)`` of the nodes that follow another on a nonbranching path.
 
-    ``placed`` (doc_id, h1, h2, start, n, first). A node that no other must
+    ``placed`` (doc_id, h1, h2, start, n, first); ``row`` are the columns that tell rows apart. A node that no other must
     precede is the head of its own path and isn't listed; nor are those of a
     path that runs in a circle.
     """
     node = F.struct("h1", "h2")
-    here = placed.select("doc_id", (F.col("start") + F.col("n")).alias("start"), node.alias("u"), F.col("first").alias("fu"), "n")
-    there = placed.select("doc_id", "start", node.alias("v"), F.col("first").alias("fv"))
-    edges = materialize(here.join(there, ["doc_id", "start"]).drop("doc_id", "start").distinct(), "substrings-edges")
+    here = placed.select(*row, (F.col("start") + F.col("n")).alias("start"), node.alias("u"), F.col("first").alias("fu"), "n")
+    there = placed.select(*row, "start", node.alias("v"), F.col("first").alias("fv"))
+    edges = materialize(here.join(there, [*row, "start"]).drop(*row, "start").distinct(), "substrings-edges")
     out = edges.groupBy("u").agg(F.count("*").alias("d"), *(F.min(c).alias(c) for c in ("v", "fu", "fv", "n"))).where("d = 1 AND fu = fv AND u <> v")
     one_in = edges.groupBy("v").agg(F.count("*").alias("d")).where("d = 1").select("v")
     pointers = out.join(one_in, "v", "left_semi").select(F.col("v").alias("node"), F.col("u").alias("to"), F.lit(1).alias("rank"), F.col("n").cast("long").alias("words"))
@@ -160,53 +163,54 @@ def compacted(placed: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"paths did not end in {max_rounds} doublings")
 
 
-def path_spans(placed: DataFrame, window: int) -> DataFrame:
-    """``(doc_id, start, stop)``: the stretches of compacted paths that a smaller document has, too."""
+def path_spans(placed: DataFrame, window: int, row: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*row, start, stop)``: the stretches of compacted paths that a smaller document has, too."""
     stop = F.col("start") + F.col("n") + (window - 1)
-    own = placed.where("doc_id > first").select("doc_id", F.struct("h1", "h2").alias("node"), "start", stop.alias("stop"))
-    on = own.join(compacted(placed), "node", "left")
+    own = placed.where("doc_id > first").select(*row, F.struct("h1", "h2").alias("node"), "start", stop.alias("stop"))
+    on = own.join(compacted(placed, row=row), "node", "left")
     head, rank = F.coalesce("head", "node").alias("head"), F.coalesce("rank", F.lit(0)).alias("rank")
-    lined = on.select("doc_id", head, rank, "start", "stop", (F.col("start") - F.coalesce("words", F.lit(0))).alias("line"))
+    lined = on.select(*row, head, rank, "start", "stop", (F.col("start") - F.coalesce("words", F.lit(0))).alias("line"))
     # On one line a path's nodes lie side by side, if none is left out between them.
-    each = lined.groupBy("doc_id", "head", "line").agg(
+    each = lined.groupBy(*row, "head", "line").agg(
         F.collect_set(F.struct("start", "stop")).alias("all"), (F.max("rank") - F.min("rank") + 1).alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop")
     )
     whole = F.when(F.size("all") == F.col("n"), F.array(F.struct("start", "stop"))).otherwise(F.col("all"))
-    return each.select("doc_id", F.explode(whole).alias("x")).select("doc_id", "x.start", "x.stop")
+    return each.select(*row, F.explode(whole).alias("x")).select(*row, "x.start", "x.stop")
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
-    """Words ``[start, stop)`` to remove, ``(doc_id, start, stop)``; spans overlap."""
+    """Words ``[start, stop)`` to remove from rows ``(doc_id, tie, text)``: ``(doc_id, tie, start, stop)``; spans overlap."""
     every = materialize(paths(docs, window, k), "substrings-paths")
     # Written, so that the joins read plain exchanges, of which Spark splits hot keys.
     shared = materialize(every.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimizer"), "substrings-minimizers")
     kept = materialize(every.join(shared, "minimizer", "left_semi"), "substrings-shared")
     firsts = materialize(kept.groupBy("minimizer", "h1", "h2").agg(F.min("doc_id").alias("first")), "substrings-firsts")
     placed = materialize(kept.join(firsts, ["minimizer", "h1", "h2"]), "substrings-placed")
-    same = path_spans(placed, window)
+    same = path_spans(placed, window, ROW)
 
     branching = materialize(firsts.groupBy("minimizer").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("minimizer"), "substrings-branching")
     parts = (
         placed.where("doc_id = first").join(branching, "minimizer", "left_semi")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+        .groupBy(*ROW).agg(F.collect_set(F.struct("start", "n")).alias("parts"))
     )
-    single = materialize(windows(docs.join(parts, "doc_id"), window), "substrings-windows")
+    single = materialize(windows(docs.join(parts, list(ROW)), window), "substrings-windows")
     earliest = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    alone = single.join(earliest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "start", (F.col("start") + window).alias("stop"))
+    alone = single.join(earliest, ["w1", "w2"]).where("doc_id > lo").select(*ROW, "start", (F.col("start") + window).alias("stop"))
     return same.unionByName(alone)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 16, with_text: bool = True) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept_text])`` by input row.
 
-    A null text has no words, a very long one is taken whole. Repeated rows of a
-    document don't count against each other and come back alike; a row without
-    an id is compared with none and keeps its words. Other columns aren't read.
+    A null text has no words, a very long one is taken whole. Rows that share a doc_id,
+    with one text or several, are rows of one document: they don't count against each other, and each is judged
+    by its own words. A row without an id is compared with none and keeps its words. Other columns aren't read.
     An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A row is told by its id and its text's hash; only the id says which document is the smaller one.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     spans = repeated_spans(docs.where("doc_id is not null"), window, k)
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    lists = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def run(ids, texts, found):
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)}
@@ -226,6 +230,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 16, with_text: bo
         return {"doc_id": ids} | out
 
     return map_columns(
-        docs.join(lists, "doc_id", "left"), ["doc_id", "text", "spans"],
+        docs.join(lists, list(ROW), "left"), ["doc_id", "text", "spans"],
         "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text, run,
     )
