@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,105 @@ def test_task_machine_over_a_stream(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted((r.task_id, r.status) for r in got) == [("a", "completed"), ("a", "working"), ("b", "working")]
+
+
+class _Timers:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs  # noqa: N815
+
+
+class _Handle:
+    """State and timers of one key, as the engine keeps them, with its clock in the test's hands."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+def machine(**options):
+    import pandas as pd
+
+    m, handle = tasks.TaskMachine(**options), _Handle()
+    m.init(handle)
+
+    def take(now, *parts):
+        frames = [pd.DataFrame({"at": pd.to_datetime([p[0] for p in part], unit="s"), "status": [p[1] for p in part]}) for part in parts]
+        return [s for f in m.handleInputRows(("a",), iter(frames), _Timers(now)) for s in f["status"]]
+
+    def pass_time(now):
+        fired = [t for t in sorted(handle.timers) if t <= now]
+        handle.timers = [t for t in handle.timers if t > now]
+        return [s for t in fired for f in m.handleExpiredTimer(key=("a",), timerValues=None, expiredTimerInfo=_Timers(t)) for s in f["status"]]
+
+    return handle, take, pass_time
+
+
+def test_an_id_used_again_has_its_full_time():
+    handle, take, pass_time = machine(ttl_ms=1000, keep_ms=100)
+    assert take(0, [(1, "working")]) == ["working"] and handle.timers == [1000]
+    assert take(50, [(2, "completed")]) == ["completed"] and handle.timers == [150], "the first timer is deleted"
+    assert pass_time(149) == [] and pass_time(150) == ["expired"] and handle.timers == []
+    assert take(900, [(3, "working")]) == ["working"] and handle.timers == [1900]
+    assert pass_time(1000) == [] and handle.value == ("working", 1900), "nothing of the task before kills this one"
+    assert pass_time(1900) == ["expired"]
+
+
+def test_time_to_live_comes_before_a_late_end():
+    handle, take, pass_time = machine(ttl_ms=1000, keep_ms=500)
+    take(0, [(1, "working")])
+    assert take(900, [(2, "failed")]) == ["failed"] and handle.timers == [1000]
+    assert pass_time(1000) == ["expired"]
+
+
+def test_late_terminal_states_and_parts_in_the_wrong_order():
+    handle, take, _ = machine()
+    assert take(0, [(9, "failed"), (4, "input_required")], [(2, "working"), (5, "completed")]) == ["working", "input_required", "completed"]
+    assert take(1, [(1, "cancelled")], [(10, "working")]) == [] and handle.value[0] == "completed" and len(handle.timers) == 1
+    handle, take, _ = machine()
+    assert take(0, [(1, "working"), (2, None)], [(None, "completed")]) == ["working", "completed"]
+
+
+def test_tasks_by_event_time_over_a_stream(spark, tmp_path):
+    """Two runs of one id: the first expires as the watermark passes it, the second begins anew."""
+    pytest.importorskip("google.protobuf")
+    schema, source, checkpoint = "task_id string, at timestamp_ntz, status string", str(tmp_path / "in"), str(tmp_path / "cp")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen, before = [], []
+        for rows in ([("a", at(2), "completed"), ("a", at(1), "working"), ("b", at(1), "working")], [("c", at(4000), "working")], [("a", at(4001), "working"), ("c", at(4002), "failed"), ("c", at(4003), "completed")]):
+            df = tasks.stream_tasks(stream(spark, rows, schema, source), late="1 second")
+            q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+            now = sorted((r.task_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+            seen.append(sorted((Counter(now) - Counter(before)).elements()))
+            before = now
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert seen[0] == [("a", "completed"), ("a", "working"), ("b", "working")]
+    assert ("a", "expired") in seen[1] + seen[2] and ("b", "expired") in seen[1] + seen[2]
+    assert ("a", "working") in seen[2] and ("c", "failed") in seen[2] and ("c", "completed") not in seen[2]

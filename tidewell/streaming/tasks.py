@@ -19,39 +19,47 @@ def final_states(changes: DataFrame, key: str, order: str) -> DataFrame:
 
 
 class TaskMachine(StatefulProcessor):
-    """Keeps a task's state until its time to live, or five minutes after its end, is over.
+    """Keeps a task's state until its time to live, or five minutes after its end, is over, whichever is first.
 
-    Gives out every change that takes effect, and ``expired`` when the state is dropped.
+    Gives out every change that takes effect, and ``expired`` when the state is dropped. A task ends
+    once: states after the first terminal one change nothing, also late ones that are older. The time at which
+    the state is due is part of it and has the task's only timer; a new due time deletes the timer before, and one
+    that fires for another time is ignored, so a later task of the same id has its full time.
     """
 
-    def __init__(self, ttl_ms: int = 3_600_000, keep_ms: int = 300_000):
-        self.ttl_ms, self.keep_ms = ttl_ms, keep_ms
+    def __init__(self, ttl_ms: int = 3_600_000, keep_ms: int = 300_000, event_time: bool = False):
+        self.ttl_ms, self.keep_ms, self.event_time = ttl_ms, keep_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        now = timers.getCurrentProcessingTimeInMs()
-        status = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for part in rows:
-            for x in part.sort_values("at")["status"]:
-                if status in TERMINAL:
-                    continue
-                if status is None:
-                    self.handle.registerTimer(now + self.ttl_ms)
-                if x != status:
-                    out.append(x)
-                    status = x
-                    if x in TERMINAL:
-                        self.handle.registerTimer(now + self.keep_ms)
-        if status is not None:
-            self.state.update((status,))
+        self.state = handle.getValueState("state", "status string, due long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, due = self.state.get() if self.state.exists() else (None, None)
+        now, before, out = timerValues.getCurrentProcessingTimeInMs(), due, []
+        # A batch's rows of a task come in parts that need not follow each other in time.
+        changes = pd.concat([part[["at", "status"]] for part in rows], ignore_index=True).dropna(subset=["status"]).sort_values("at", kind="stable")
+        for at, new in zip(changes["at"], changes["status"], strict=True):
+            if status in TERMINAL or new == status:
+                continue
+            since = int(pd.Timestamp(at).value // 1_000_000) if self.event_time and at is not pd.NaT else now
+            if status is None:
+                due = since + self.ttl_ms
+            if new in TERMINAL:
+                due = min(due, since + self.keep_ms)
+            status = new
+            out.append(new)
+        if status is not None and due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+            self.state.update((status, due))
+        elif out:
+            self.state.update((status, due))
         yield pd.DataFrame({"task_id": [key[0]] * len(out), "status": out})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803  called by these names
+        if self.state.exists() and self.state.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
             yield pd.DataFrame({"task_id": [key[0]], "status": ["expired"]})
 
@@ -59,10 +67,16 @@ class TaskMachine(StatefulProcessor):
         pass
 
 
-def stream_tasks(changes: DataFrame, ttl_ms: int = 3_600_000, keep_ms: int = 300_000) -> DataFrame:
-    """Changes ``(task_id, at, status)`` of a stream that take effect."""
-    return changes.groupBy("task_id").transformWithStateInPandas(
-        TaskMachine(ttl_ms, keep_ms), outputStructType="task_id string, status string", outputMode="Append", timeMode="ProcessingTime"
+def stream_tasks(changes: DataFrame, ttl_ms: int = 3_600_000, keep_ms: int = 300_000, late: str | None = None) -> DataFrame:
+    """Changes ``(task_id, at, status)`` of a stream that take effect.
+
+    Times count by the clock or, where ``late`` says how late a change may come, by ``at``.
+    """
+    rows = changes.select("task_id", F.col("at").cast("timestamp").alias("at"), "status")
+    if late is not None:
+        rows = rows.withWatermark("at", late)
+    return rows.groupBy("task_id").transformWithStateInPandas(
+        TaskMachine(ttl_ms, keep_ms, late is not None), outputStructType="task_id string, status string", outputMode="Append", timeMode="ProcessingTime" if late is None else "EventTime"
     )
 
 
