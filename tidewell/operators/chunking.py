@@ -1,6 +1,7 @@
 """Chunks of documents by sentences, blocks or code boundaries, within a token budget.
 
-A document is cut at the largest boundaries that make pieces fit, pieces are
+A document is cut at the largest boundaries that make pieces fit (``boundaries``: blocks of
+code, paragraphs, lines, sentences, words, characters), pieces are
 joined again as far as the budget goes, and following chunks overlap by whole
 pieces. Chunks are trimmed, not empty, parts of the text and within the budget
 as the sizer counts; exact boundaries of other splitters aren't reproduced.
@@ -8,13 +9,14 @@ as the sizer counts; exact boundaries of other splitters aren't reproduced.
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewell.operators.boundaries import Block, character_ends, code_blocks, python_blocks, sentence_ends, word_ends
+
 Sizer = Callable[[str], int]
 
 
@@ -24,16 +26,21 @@ def word_count(text: str) -> int:
 
 
 MARKDOWN = (".md", ".markdown", ".mdx")
-#: Languages cut at definitions, by extension.
-CODE = {
-    ".rs": r"^(?:pub |async |unsafe )*(?:fn|struct|enum|impl|trait|mod)\b", ".py": r"^(?:async )?(?:def|class)\b|^@", ".go": r"^(?:func|type)\b",
-    ".java": r"^\s{0,4}(?:public|private|protected|class|interface)\b",
-} | dict.fromkeys((".js", ".mjs", ".cjs", ".ts", ".tsx"), r"^(?:export |default |async )*(?:function|class|const|interface|type)\b") | dict.fromkeys(
-    (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hxx"), r"^(?:[A-Za-z_][\w:<>*& ]*\([^;]*$|(?:struct|class|enum|namespace)\b)"
+#: Languages that are cut at their blocks, by extension: the family whose strings and comments they share.
+CODE = {".py": "python", ".rs": "rust", ".go": "go", ".java": "java"} | dict.fromkeys((".js", ".mjs", ".cjs", ".ts", ".tsx"), "js") | dict.fromkeys(
+    (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hxx"), "c"
 )
-#: Boundaries from coarse to fine; a cut falls after each match.
-TEXT_CUTS = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"(?<=[.!?。！？])\s+", r"(?<=[,;:，；])\s+", r"\s+")]
-MARKDOWN_CUTS = [re.compile(p, re.M) for p in (r"\n(?=# )", r"\n(?=##+ )", r"\n\s*\n", r"\n(?=[-*+] |\d+\. )")] + TEXT_CUTS[1:]
+Cut = Callable[[str, int, int], list[int]]
+
+
+def _after(pattern: str, flags: int = 0) -> Cut:
+    found = re.compile(pattern, flags)
+    return lambda text, a, z: [m.end() for m in found.finditer(text, a, z)]
+
+
+#: Boundaries from coarse to fine: places within a part of a text.
+TEXT_CUTS: list[Cut] = [_after(r"\n\s*\n"), _after(r"\n"), sentence_ends, _after(r"(?<=[,;:，；、])\s*"), _after(r"\s+"), word_ends, character_ends]
+MARKDOWN_CUTS: list[Cut] = [_after(p, re.M) for p in (r"\n(?=# )", r"\n(?=##+ )", r"\n\s*\n", r"\n(?=[-*+] |\d+\. )")] + TEXT_CUTS[1:]
 
 
 def extension(name: str) -> str:
@@ -47,39 +54,40 @@ def effective_size(size: int, overlap: int, model: tuple[int, int] = (0, 0), con
     return n, min(max(overlap or model[1] or 100, 0), n - 1)
 
 
-def _spans(text: str, a: int, z: int, cut: re.Pattern) -> list[tuple[int, int]]:
-    ends = [m.end() for m in cut.finditer(text, a, z) if a < m.end() < z]
+def _spans(text: str, a: int, z: int, cut: Cut) -> list[tuple[int, int]]:
+    ends = [e for e in cut(text, a, z) if a < e < z]
     return [(b, e) for b, e in zip([a, *ends], [*ends, z], strict=True) if text[b:e].strip()]
 
 
-def _fit(text: str, a: int, z: int, cuts: list, sizer: Sizer, size: int) -> Iterator[tuple[int, int]]:
+def _fit(text: str, a: int, z: int, cuts: list[Cut], sizer: Sizer, size: int) -> Iterator[tuple[int, int]]:
     """Pieces of at most ``size`` tokens, cut no finer than needed."""
-    if sizer(text[a:z].strip()) <= size:
-        yield a, z
-    elif cuts:
-        parts = _spans(text, a, z, cuts[0])
-        for b, e in parts or [(a, z)]:
-            yield from _fit(text, b, e, cuts[1:], sizer, size)
-    elif z - a > 1:
-        yield from _fit(text, a, (a + z) // 2, [], sizer, size)
-        yield from _fit(text, (a + z) // 2, z, [], sizer, size)
-    else:
+    if sizer(text[a:z].strip()) <= size or not cuts:
         yield a, z
+        return
+    for b, e in _spans(text, a, z, cuts[0]) or [(a, z)]:
+        yield from _fit(text, b, e, cuts[1:], sizer, size)
 
 
-def _python_cuts(text: str) -> list[int]:
-    """Line offsets of top-level statements."""
-    lines = [0]
-    for line in text.splitlines(keepends=True):
-        lines.append(lines[-1] + len(line))
-    starts = [min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) for node in ast.parse(text).body]
-    return [lines[n - 1] for n in starts]
+def _fit_blocks(text: str, a: int, z: int, blocks: list[Block], sizer: Sizer, size: int) -> Iterator[tuple[int, int]]:
+    """The same along nested blocks: one that fits stays whole, else its inner blocks are looked at."""
+    if not blocks:
+        yield from _fit(text, a, z, TEXT_CUTS, sizer, size)
+    elif sizer(text[a:z].strip()) <= size:
+        yield a, z
+    else:
+        at = a
+        for b in blocks:
+            if text[at : b.start].strip():  # what stands before the first inner block, such as a head
+                yield from _fit(text, at, b.start, TEXT_CUTS, sizer, size)
+            yield from _fit_blocks(text, b.start, b.end, b.inner, sizer, size)
+            at = b.end
+        if text[at:z].strip():
+            yield from _fit(text, at, z, TEXT_CUTS, sizer, size)
 
 
 def _code_pieces(text: str, ext: str, sizer: Sizer, size: int) -> list[tuple[int, int]]:
-    starts = _python_cuts(text) if ext == ".py" else [m.start() for m in re.finditer(CODE[ext], text, re.M)]
-    edges = sorted({0, *starts, len(text)})
-    return [p for a, z in zip(edges, edges[1:]) if text[a:z].strip() for p in _fit(text, a, z, TEXT_CUTS, sizer, size)]
+    blocks = python_blocks(text) if CODE[ext] == "python" else code_blocks(text, CODE[ext])
+    return list(_fit_blocks(text, 0, len(text), blocks, sizer, size))
 
 
 def chunk_text(name: str, text: str, size: int, overlap: int, sizer: Sizer = word_count) -> list[str]:

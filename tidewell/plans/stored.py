@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import numbers as num
 from tidewell.knowledge_base import KnowledgeBase
-from tidewell.operators import activity, catalog, documents, search
+from tidewell.operators import activity, catalog, chunking, documents, search
 from tidewell.plans import mutations
 from tidewell.plans.catalogue import ACTIVITY, NOW, activity_log, overrides_table, query, read, tools_table
 from tidewell.shared import shared_dir
@@ -124,6 +124,19 @@ def bare_type_labels(spark, sf_dir):
     return documents.label_of_type(kinds, type_catalog(spark)).select("doc_id", "kind", "label")
 
 
+@query("""WITH m AS (SELECT p_partkey // 50 AS doc_id, p_partkey % 50 + 1 AS i, 'void part_' || p_partkey || '() { use("} ' || p_name || ' {"); }' AS t FROM part),
+lines AS (SELECT doc_id, i, t FROM m UNION ALL SELECT DISTINCT doc_id, 0, 'class D' || doc_id || ' {' FROM m UNION ALL SELECT doc_id, max(i) + 1, '}' FROM m GROUP BY doc_id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_index, md5(t) AS chunk FROM lines""")
+def code_chunks(spark, sf_dir):
+    """Classes with a method for each part, whose strings hold braces, in chunks that hold one method each."""
+    method = F.format_string('  void part_%d() { use("} %s {"); }\n', "p_partkey", "p_name")
+    doc = F.floor(F.col("p_partkey") / 50).cast("bigint").alias("doc_id")
+    classes = read(spark, sf_dir, "part").select(doc, F.struct("p_partkey", method.alias("t")).alias("m")).groupBy("doc_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    text = F.concat(F.format_string("class D%d {\n", "doc_id"), F.array_join(F.transform("ms", lambda m: m["t"]), ""), F.lit("}\n"))
+    docs = classes.select("doc_id", F.lit("D.java").alias("name"), text.alias("text"))
+    return chunking.chunk_documents(docs, 8, 0).select("doc_id", "chunk_index", F.md5("chunk_text").alias("chunk"))
+
+
 class _Lengths:
     """A model whose vectors are lengths, so that a query of documents spends no time on embedding."""
 
