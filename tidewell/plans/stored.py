@@ -15,7 +15,7 @@ from tidewell.functions import numbers as num
 from tidewell.knowledge_base import KnowledgeBase
 from tidewell.operators import activity, catalog, chunking, documents, search
 from tidewell.plans import mutations
-from tidewell.plans.catalogue import ACTIVITY, NOW, activity_log, overrides_table, query, read, tools_table
+from tidewell.plans.catalogue import ACTIVITY, CHUNKS, NOW, PROBE, TERMS, WINDOWS, activity_log, doc_titles_table, hybrid_sql, overrides_table, probe_vector, query, read, tools_table
 from tidewell.shared import shared_dir
 from tidewell.sources.files import type_catalog
 from tidewell.streaming import retention as job
@@ -124,6 +124,34 @@ def bare_type_labels(spark, sf_dir):
     return documents.label_of_type(kinds, type_catalog(spark)).select("doc_id", "kind", "label")
 
 
+#: Every document in windows of 50 words; each window has one of the stored vectors.
+WINDOW_CHUNKS = f"""chunks AS (SELECT w.doc_id, w.chunk_index, 'doc-' || w.doc_id || '.md' AS doc_name, w.chunk_text, [d.lang, d.source] AS tags,
+  CASE WHEN w.doc_id % 3 = 0 THEN '' ELSE upper(d.lang) || ' ' || w.doc_id END AS title, e.cos
+  FROM {WINDOWS} w JOIN documents d ON d.doc_id = w.doc_id JOIN (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {PROBE}) AS cos FROM embeddings) e
+  ON e.vec_id = (w.doc_id * 7 + w.chunk_index) % (SELECT count(*) FROM embeddings))"""
+
+
+def window_chunks(spark, sf_dir):
+    docs, vectors = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    windows = documents.token_windows(docs, 50, 10).withColumn("vec_id", (F.col("doc_id") * 7 + F.col("chunk_index")) % vectors.count())
+    about = docs.select("doc_id", F.format_string("doc-%d.md", "doc_id").alias("doc_name"), F.array("lang", "source").alias("tags"))
+    return windows.join(about, "doc_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("doc_id", "chunk_index", "doc_name", "chunk_text", "tags", "embedding")
+
+
+def over_windows(settings: search.Settings, tags: list[str] | None = None):
+    def run(spark, sf_dir):
+        chunks, tables = window_chunks(spark, sf_dir), new_tables(spark, "chunks")
+        tables.change(lambda now: {"chunks": chunks})  # stored, as a search reads it once for vectors and once for words
+        found = search.hybrid_search(tables.read("chunks"), TERMS, probe_vector(spark, sf_dir), settings, tags, doc_titles_table(spark, sf_dir))
+        return found.withColumns({"snippet": F.md5("snippet"), "score": F.round("score", 6)})
+
+    return run
+
+
+query(hybrid_sql(0.6, 0.4, 40, 0.05).replace(CHUNKS, WINDOW_CHUNKS), "hybrid_windows")(over_windows(search.Settings(0.6, 0.4, 40, 0.05)))
+query(hybrid_sql(0.8, 0.2, 20, 0.1, "'de', 'src3'").replace(CHUNKS, WINDOW_CHUNKS), "hybrid_windows_tags")(over_windows(search.Settings(0.8, 0.2, 20, 0.1), ["DE", "src3", ""]))
+
+
 @query("""WITH m AS (SELECT p_partkey // 50 AS doc_id, p_partkey % 50 + 1 AS i, 'void part_' || p_partkey || '() { use("} ' || p_name || ' {"); }' AS t FROM part),
 lines AS (SELECT doc_id, i, t FROM m UNION ALL SELECT DISTINCT doc_id, 0, 'class D' || doc_id || ' {' FROM m UNION ALL SELECT doc_id, max(i) + 1, '}' FROM m GROUP BY doc_id)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_index, md5(t) AS chunk FROM lines""")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,32 +54,43 @@ def decode_bytes(raw: bytes) -> tuple[str, str]:
     return raw.decode("cp1252", errors="replace"), "cp1252"
 
 
-@F.pandas_udf(T.BooleanType())
-def is_text(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: likely_text(bytes(b or b"")))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("error", T.StringType())]))
+def judge_content(content: pd.Series) -> pd.DataFrame:
+    """Text and encoding of what is text, an error for what isn't."""
+    rows = [(*decode_bytes(raw), None) if likely_text(raw) else (None, None, "not text") for raw in (bytes(b or b"") for b in content)]
+    return pd.DataFrame(rows, columns=["text", "encoding", "error"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
-def decode(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_bytes(bytes(b or b"")) for b in content], columns=["text", "encoding"])
+def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """``(path, name, size)`` of all files, empty ones too; no content is read.
+
+    Spark's scan passes by files of no bytes; the paths of its own listing tell which these are.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
+    scanned = raw.select("path", F.col("length").alias("size"))
+    every = spark.createDataFrame([(unquote(p),) for p in raw.inputFiles()], "listed string")
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")  # noqa: E731  the two listings write the root of local paths differently
+    empty = every.join(scanned.select(plain("path").alias("seen")), plain("listed") == F.col("seen"), "left_anti").select(F.regexp_replace("listed", r"^file:/+", "file:/").alias("path"), F.lit(0).cast("long").alias("size"))
+    return scanned.unionByName(empty).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size")
 
 
-def read_uploads(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+def read_uploads(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, most: int = MAX_BYTES) -> DataFrame:
     """``(path, name, size, text, encoding, title, error)`` of all files.
 
-    A file that is too large or not text has an error instead of text; the
-    size is known from the listing, so such content isn't decoded. Spark's
-    reader passes by files of no bytes.
+    A file that is too large or not text has an error instead of text. The listing comes first:
+    sizes are judged on it, and only contents of at most ``most`` bytes are read, once for both
+    outcomes. An empty file is an empty text.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
-    named = raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), "content")
-    error = F.when(F.col("size") > MAX_BYTES, "too large").when(~is_text("content"), "not text")
-    checked = named.withColumn("error", error)
-    good = checked.where("error is null").withColumn("d", decode("content"))
-    fine = good.select("path", "name", "size", F.col("d.text").alias("text"), F.col("d.encoding").alias("encoding"), extract_title(F.col("d.text"), "name").alias("title"), "error")
-    none = F.lit(None).cast("string")
-    bad = checked.where("error is not null").select("path", "name", "size", none.alias("text"), none.alias("encoding"), none.alias("title"), "error")
-    return fine.unionByName(bad)
+    # The reader takes the filter on the length before it opens a file.
+    small = raw.where(F.col("length") <= most).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), judge_content("content").alias("d"))
+    title = lambda text: F.when(text.isNotNull(), extract_title(text, "name"))
+    judged = small.select("path", "name", "size", "d.text", "d.encoding", title(F.col("d.text")).alias("title"), "d.error")
+    none, listed = F.lit(None).cast("string"), list_files(spark, path, glob, recursive)
+    large = listed.where(F.col("size") > most).select("path", "name", "size", none.alias("text"), none.alias("encoding"), none.alias("title"), F.lit("too large").alias("error"))
+    nothing = F.lit("")
+    empty = listed.where("size = 0").select("path", "name", "size", nothing.alias("text"), F.lit("utf-8-sig").alias("encoding"), extract_title(nothing, "name").alias("title"), none.alias("error"))
+    return judged.unionByName(large).unionByName(empty)
 
 
 def read_metadata(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
