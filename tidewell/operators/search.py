@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewell.functions.numbers import as_score, cosine, cosine_distance, literal_vector
+from tidewell.functions.numbers import as_score
 from tidewell.functions.text import fold_ascii
 
 KEY = ["doc_id", "chunk_index"]
@@ -40,12 +41,6 @@ def query_terms(query: str) -> list[str]:
     return [w.lower() for w in query.split()]
 
 
-def nearest(chunks: DataFrame, vector: list[float], k: int, keys: list[str] = KEY) -> DataFrame:
-    """The ``k`` chunks of smallest cosine distance, with ``distance``; zero vectors last."""
-    found = chunks.withColumn("distance", F.coalesce(cosine_distance("embedding", literal_vector(vector)), F.lit(1.0)))
-    return found.orderBy("distance", *keys).limit(k)
-
-
 #: Digits to which cosines are compared, so that equal vectors tie whatever block they are in.
 DIGITS = 12
 #: Bytes of doubles that a block of vectors has in a task.
@@ -64,6 +59,36 @@ def _matrix(column) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
+def nearest(chunks: DataFrame, vector: list[float], k: int, keys: list[str] = KEY) -> DataFrame:
+    """The ``k`` chunks of smallest cosine distance, with ``distance``; zero and null vectors are at distance 1, ties go by key.
+
+    Vectors are scanned as blocks of numbers, and each task keeps ``k`` rows. All columns given go
+    through the scan, so name those that are needed.
+    """
+    fields = [*chunks.schema.fields, T.StructField("distance", T.DoubleType())]
+    at = chunks.columns.index("embedding")
+    order = [("distance", "ascending"), *((c, "ascending") for c in keys)]
+
+    def best(batches):
+        q = np.asarray(vector, dtype=np.float64)
+        q = q / max(np.linalg.norm(q), 1e-300)
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column(at))
+            distance = 1.0 - (np.round(m @ q, DIGITS) if m.shape[1] == len(q) else np.zeros(len(m)))
+            n = min(k, len(distance))
+            some = np.flatnonzero(distance <= np.partition(distance, n - 1)[n - 1])  # all ties of the last place
+            found = pa.Table.from_batches([batch]).append_column("distance", pa.array(distance)).take(pa.array(some))
+            kept = found if kept is None else pa.concat_tables([kept, found])
+            kept = kept.take(pc.sort_indices(kept, order)[:k])
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+
+    return chunks.mapInArrow(best, T.StructType(fields)).orderBy("distance", *keys).limit(k)
+
+
 def _best(ids: np.ndarray, q: np.ndarray, doc: np.ndarray, chunk: np.ndarray, m: np.ndarray, k: int) -> dict[str, np.ndarray]:
     """The ``k`` best rows of a block for each query, ties by key."""
     order = np.lexsort((chunk, doc))
@@ -188,8 +213,7 @@ def hybrid_search(
     none = chunks.select(*KEY, *about).limit(0)
     by_vector = none.withColumn("vs", F.lit(0.0))
     if s.vector_weight > 0:  # the scan of all vectors reads no text; texts of the few winners are fetched by key
-        near = chunks.select(*KEY, cosine("embedding", literal_vector(vector)).alias("cosine"))
-        near = near.orderBy(F.coalesce(F.lit(1.0) - F.col("cosine"), F.lit(1.0)), *KEY).limit(fetch)
+        near = nearest(chunks.select(*KEY, "embedding"), vector, fetch).select(*KEY, (F.lit(1.0) - F.col("distance")).alias("cosine"))
         by_vector = chunks.select(*KEY, *about).join(F.broadcast(near), KEY).select(*KEY, *about, as_score(F.col("cosine")).alias("vs"))
     by_word = keyword_hits(chunks, query, fetch).select(*KEY, *about, match_ratio(F.col("chunk_text"), query).alias("ks")) if s.keyword_weight > 0 else none.withColumn("ks", F.lit(0.0))
     both = by_vector.alias("v").join(by_word.alias("k"), KEY, "full_outer").select(
