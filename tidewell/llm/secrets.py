@@ -59,6 +59,11 @@ EDGE = "\"'`,;()[]{}<>.:=!?*#&%$"
 RUNS = re.compile(r"[a-z]+|[A-Z]+|\d+|[^a-zA-Z\d]+")
 
 
+#: Shapes of names that are long and mixed but no secrets.
+LINK, UUID = re.compile(r"www\.|data:|[a-z][a-z0-9+.-]*://(?![^/@]*:[^/@]*@)"), re.compile(r"\{?[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\}?")
+FILE = re.compile(r"[\w./\\~%-]*[\w%-]\.[A-Za-z][A-Za-z0-9]{1,4}")
+
+
 def signature(token: str, known: frozenset = frozenset()) -> tuple:
     """What a token looks like, and the token where it is a known one; tokens with one signature are alike to the model."""
     core = token.strip(EDGE)
@@ -77,7 +82,7 @@ def signature(token: str, known: frozenset = frozenset()) -> tuple:
     runs = len(RUNS.findall(value))
     mixed = min(runs * 8 // max(n, 1), 4) if n >= 8 else 5
     start = any(value.startswith(s) for s in STARTS)
-    kind = "mail" if "@" in core else "link" if "://" in core or core.startswith("www.") else "ip" if n and not lower and not upper else "text"
+    kind = "mail" if "@" in core else "link" if LINK.match(core) else "uuid" if UUID.fullmatch(value) else "file" if FILE.fullmatch(core) else "ip" if n and not lower and not upper else "text"
     share = 0 if not digits else 1 if 4 * digits < n else 2 if 2 * digits < n else 3
     return ("value", size, lower, upper, share, mixed, start, kind, speak, sign, "=" in core, plain, name)
 
@@ -130,6 +135,10 @@ def labelled_lines(n: int, seed: int = 7) -> list[tuple[list[str], list[int]]]:
             lambda: [text(letters, 2, 8) + "-" + text(letters, 2, 8)], lambda: [f"{text(letters, 2, 6)}_{text(letters, 2, 6)}()"], lambda: [f"{text(letters, 2, 6)}={text(digits, 1, 3)}"],
             lambda: [text(letters, 2, 5), "=", text(digits, 1, 4)], lambda: [text(letters, 2, 5) + ":", word()], lambda: ["token", "=", text(letters, 1, 5)], lambda: [text(letters, 20, 40)],
             lambda: [text(letters, 4, 9).capitalize() + text(digits, 1, 2)], lambda: [text(letters.upper(), 2, 6) + "-" + text(digits, 1, 4)], lambda: ["#" + text("0123456789abcdef", 6, 6)],
+            lambda: ["-".join(text("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12))], lambda: [f"{text(letters, 2, 6)}_{text(digits, 6, 14)}{text('_' + letters, 0, 4)}." + r.choice(["jpg", "png", "txt", "tar", "log", "csv"])],
+            lambda: ["data:" + text(letters, 4, 6) + "/" + text(letters, 3, 4) + ";base64," + text(mixed + "+/", 12, 60)], lambda: ["https://" + text(letters, 4, 9) + ".com/" + text(letters, 3, 8) + "/" + text(mixed, 8, 30) + "?" + text(letters, 1, 4) + "=" + text(mixed, 3, 16)],
+            lambda: [r.choice(["id", "request", "trace", "file", "commit", "build"]) + r.choice([":", "=", ""]), "-".join(text("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12))],
+            lambda: ["/" + "/".join(text(letters + "_", 2, 9) for _ in range(r.randint(2, 5)))], lambda: [text(letters, 3, 8) + "-" + text(digits, 1, 2) + "." + text(digits, 1, 2) + "." + text(digits, 1, 2) + "-" + text(letters, 3, 6)],
         ])()
 
     def value() -> str:
