@@ -48,3 +48,15 @@ def test_windows_of_one_suffix():
     pieces = [(i, [b"a%d" % i, b"b%d" % i, *[b"x"] * 8]) for i in range(3000)]
     tables, _ = dc.pattern_tables(pieces)
     assert dc.scan([b"z", b"a7", b"b7", *[b"x"] * 8, b"a8"], tables)[1] == {7}
+
+
+def test_keep_clean_holds_one_shard_at_a_time(spark, edge, nothing):
+    """Any number of shards gives the rows that one gives, and the plan's only worker is that of the last."""
+    b = spark.createDataFrame([(i, f"w{i} x{i} y{i}", "t") for i in range(40)] + [(99, prose(12), "t")], "item_id long, text string, lang string")
+    d = spark.createDataFrame([(i, f"a w{i} x{i} y{i} b" if i % 3 else f"a w{i} b", "en") for i in range(60)] + [(None, None, None), (1, prose(300), "x"), (1, "", "x")], "doc_id long, text string, lang string").repartition(3)
+    assert dc.shards(b, 10, 3).count() >= 20
+    many, one = dc.keep_clean(d, b, shard_words=3), dc.keep_clean(d, b)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect())) and 20 < one.count() < 63
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert dc.keep_clean(nothing, b, shard_words=3).count() == 0 and dc.keep_clean(edge, b.limit(0)).count() == edge.count()

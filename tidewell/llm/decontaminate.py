@@ -246,14 +246,21 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_wor
     """The rows of ``docs``, all columns, without any benchmark window; null texts stay.
 
     Rows are judged one by one, so repeated rows and rows without an id are
-    kept or dropped by their text alone. An empty benchmark keeps all.
+    kept or dropped by their text alone, empty and very long ones too, whatever other columns there are. An empty
+    benchmark keeps all, an empty table stays empty. What a shard of patterns leaves is written before the next one
+    looks at it, so a task holds one shard's tables at a time.
     """
-    out = docs
-    for held in held_tables(docs, benchmark, width, shard_words):
+    out, fetched = docs, held_tables(docs, benchmark, width, shard_words)
+    held = next(fetched, None)
+    while held is not None:
 
         def clean(held=held):
             tables, _ = load(held, [])
             return lambda text: not any(next(x.find(found), None) for found in [words(text)] for x in tables)
 
-        out = filter_texts(out, clean)
+        out, after = filter_texts(out, clean), next(fetched, None)
+        if after is not None:
+            out = materialize(out, "decontaminate-clean")
+            held.unpersist()
+        held = after
     return out
