@@ -98,7 +98,8 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
 def filter_texts(df: DataFrame, make_keep: Callable[[], Callable], column: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose text ``make_keep()`` says to keep.
 
-    ``make_keep`` runs once a task; what it returns gets one text, or None.
+    ``make_keep`` runs once a task; what it returns gets one whole text, however long, or None. Rows are
+    judged one by one, so repeated rows and ids play no part; an empty table stays empty.
     """
 
     def run(batches):

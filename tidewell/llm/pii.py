@@ -488,7 +488,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text`` and ``n_chars`` counted anew.
 
-    Null texts stay null, and all other columns and rows, repeated ones too, as they were.
+    Null texts stay null, empty ones empty, very long ones are masked whole. All other columns and rows, repeated
+    ones and those without an id too, stay as they were; an empty table stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(fit())
 

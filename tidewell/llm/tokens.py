@@ -122,7 +122,9 @@ def encoder(path: str) -> Encoder:
 def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 32_768, overlap: int = 256) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)``, one row per input row.
 
-    A null text counts as empty: no bytes, no tokens.
+    A null text counts as empty: no bytes, no tokens. Very long texts are counted whole, in
+    overlapping chunks. Repeated rows come back alike, rows without an id keep a null one; other columns
+    aren't read. An empty table gives no rows.
     """
 
     def run(ids, texts):

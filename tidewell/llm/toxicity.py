@@ -2,14 +2,15 @@
 
 Each category is a 0/1 label. The models are logistic regressions over the
 presence of words and word beginnings (so that inflected forms count) and run
-in the order of the chain: a later one also reads the log-odds that the
+in the order of the chain: a later one also reads the probabilities that the
 earlier ones give. In training those come out of folds, so that a later model
 sees them with the errors they will have (Read, Pfahringer, Holmes, Frank,
 "Classifier chains for multi-label classification", 2011).
 
 The fit uses at most ``per_class`` labelled documents of each value of the
 last category, the smallest by a hash of doc_id, and then shifts each
-intercept to the share of the category among all labelled rows. Scoring reads
+intercept to the share of the category among all labelled rows. A model says yes
+from the probability on at which its F-score out of folds is best. Scoring reads
 every text whole; what a word adds is looked up once a word and task.
 """
 
@@ -52,11 +53,12 @@ def text_features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Linear:
-    """Weights by feature, of the earlier categories' log-odds, and the intercept."""
+    """Weights by feature, of the earlier categories' probabilities, the intercept, and the probability from which on it says yes."""
 
     weights: dict[int, float] = field(default_factory=dict)
     earlier: list[float] = field(default_factory=list)
     intercept: float = 0.0
+    cut: float = 0.5
 
 
 def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, keep: int = 512, penalty: float = 0.1) -> Linear:
@@ -111,6 +113,24 @@ def probability(score: float) -> float:
     return float(1 / (1 + np.exp(-min(max(score, -30.0), 30.0))))
 
 
+def best_cut(p: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The probability above which the F-score is best, the classes weighted to the true share; of equals the highest.
+
+    ``p`` are out of folds, so no row was seen by the model that judged it.
+    """
+    pos = int(y.sum())
+    if pos in (0, len(y)):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    q = p[order]
+    hit = np.cumsum(y[order]) * share / pos
+    false = np.cumsum(1 - y[order]) * (1 - share) / (len(y) - pos)
+    last = np.flatnonzero(np.append(q[:-1] > q[1:], True))  # rows of one probability are judged alike
+    best = int(np.argmax((2 * hit / (hit + false + share))[last]))
+    below = q[last[best] + 1] if last[best] + 1 < len(q) else 0.0
+    return float(np.clip((q[last[best]] + below) / 2, 0.05, 0.95))
+
+
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, shares: list[float], folds: int = 3) -> list[Linear]:
     """One model a column of ``labels``; ``shares`` are the columns' true means."""
     n, before, models = len(rows), np.zeros((len(rows), 0)), []
@@ -127,7 +147,11 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, shares: list[float], f
         before = np.column_stack([before, out])
         # Smoothed as the model of a single class is, so that a sample without one value isn't taken for proof.
         here, true = (y.sum() + 0.5) / (n + 1), (shares[j] * n + 0.5) / (n + 1)
-        models[-1].intercept += float(np.log(true / (1 - true)) - np.log(here / (1 - here)))
+        shift = float(np.log(true / (1 - true)) - np.log(here / (1 - here)))
+        models[-1].intercept += shift
+        with np.errstate(divide="ignore"):
+            shifted = 1 / (1 + np.exp(-(np.log(out) - np.log1p(-out) + shift)))
+        models[-1].cut = best_cut(shifted, y, true)
     return models
 
 
@@ -182,13 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     return fit_chain([np.frombuffer(r.found, dtype=np.int32) for r in rows], np.array([[r[n] for n in names] for r in rows]), [s or 0.0 for s in shares])
 
 
-def score(docs: DataFrame, models: list[Linear], names: list[str], threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, models: list[Linear], names: list[str], threshold: float | None = None) -> DataFrame:
     """``(doc_id, p_<name>..., <last name>)``, one row per input row.
 
     A null or empty text has no features, a very long one is read whole. Repeated
     rows come back alike, rows without an id, too; other columns aren't read. A
-    probability of just the threshold is in the category.
+    probability of just the threshold is in the category; without one it is the last model's own cut.
     """
+    threshold = models[-1].cut if threshold is None else threshold
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     kept: list[Scorer] = []  # one a task, not one a batch
@@ -202,22 +227,27 @@ def score(docs: DataFrame, models: list[Linear], names: list[str], threshold: fl
     return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], schema, run)
 
 
-def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, per_class: int = 2500, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, per_class: int = 2500, threshold: float | None = None) -> DataFrame:
     """Train on the labelled documents, score all of them.
 
     A document labelled twice has a category if one of its labels has it; a
-    null label counts as 0; labels of unknown documents are left out.
+    null label counts as 0; labels of unknown documents are left out. Null, empty and very long texts,
+    repeated rows and rows without an id are scored as ``score`` says; other columns, also such as
+    ``labels`` has, play no part. An empty table gives no rows.
     """
     return score(docs, train(docs, labels, categories, per_class), list(categories), threshold)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, per_class: int = 2500, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, per_class: int = 2500, threshold: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that the last model doesn't reject.
 
     Rows are judged by their text alone, repeated ones and those without an id
-    alike; a null text is empty. Without labels all stay.
+    alike; a null text is empty, a very long one is read whole. Other columns are passed on. Without labels all stay; an
+    empty table stays empty.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, per_class))
+    models = train(docs, labels, categories, per_class)
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    threshold = models[-1].cut if threshold is None else threshold
 
     def make():
         scorer = Scorer(held.value)
