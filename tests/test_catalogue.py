@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import assert_same, connect
-from tidewell.plans import catalogue, stored  # noqa: F401  registers its queries with those of catalogue
+from tidewell.plans import catalogue, stored, values  # noqa: F401  two register their queries with those of catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
