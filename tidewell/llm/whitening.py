@@ -42,26 +42,37 @@ def whole_numbers(values: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(values * SCALE), -float(BOUND), float(BOUND)).astype(np.int64) + SHIFT
 
 
-def usable(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of an Arrow list column whose vector is whole, finite and of length ``dim``, and those vectors as doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False), dtype=np.int64)
-    flat, parents = column.flatten(), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
-    values = np.asarray(pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False), dtype=np.float64)
-    bad = np.zeros(len(column), dtype=bool)
-    bad[parents[~np.isfinite(values)]] = True
-    at = np.flatnonzero((lengths == dim) & ~bad)
-    there = np.zeros(len(column), dtype=bool)
-    there[at] = True
-    return at, values[there[parents]].reshape(len(at), dim)
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a list column as doubles, null ones as NaN, and the place of the vector that each is in."""
+    return pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+
+
+def whole_lengths(column: pa.Array) -> np.ndarray:
+    """Lengths of the vectors of an Arrow list column, -1 where one is null or holds null or non-finite entries."""
+    out = np.array(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False), dtype=np.int64)
+    values, parents = _values(column)
+    out[parents[~np.isfinite(values)]] = -1
+    return out
+
+
+def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the whole, finite vectors of length ``dim``, and those vectors as doubles."""
+    there = whole_lengths(column) == dim
+    values, parents = _values(column)
+    return np.flatnonzero(there), values[there[parents]].reshape(int(there.sum()), dim)
 
 
 def vector_length(vectors: DataFrame, column: str = "embedding") -> int:
     """The length that most usable vectors have, of several the greatest; 0 where there are none."""
-    v = F.col(column).cast("array<double>")
-    fit = vectors.where(F.col(column).isNotNull()).where(~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-    found = fit.groupBy(F.size(column).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+
+    def run(batches):
+        for batch in batches:
+            lengths = whole_lengths(batch.column(0))
+            dims, n = np.unique(lengths[lengths >= 0], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"dim": pa.array(dims.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    counts = vectors.select(column).mapInArrow(run, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), F.desc("dim")).first()
     return found["dim"] if found else 0
 
 
