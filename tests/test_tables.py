@@ -72,6 +72,16 @@ def test_of_two_writers_one_is_next(spark, tables):
         tables.read("a")
 
 
+def test_parts_have_the_tables_columns(spark, tables):
+    tables.append("a", numbers(spark, 0, 2))
+    with pytest.raises(ValueError, match="different columns"):
+        tables.append("a", spark.range(3))
+    tables.append("a", numbers(spark, 2, 4))
+    assert tables.read("a").count() == 4 and tables.snapshot().version == 2
+    tables.change(lambda now: {"a": spark.range(3)})  # a table may be replaced by one of other columns
+    assert tables.read("a").columns == ["id"] and not any("schema" in p for p in tables.snapshot().parts("a"))
+
+
 def test_compaction_goes_by_bytes(spark, tables):
     for i in range(6):
         tables.append("a", numbers(spark, 1000 * i, 1000 * i + 1000).repartition(4), "id")
