@@ -72,7 +72,7 @@ def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*(F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order))
 
 
-def rows_at(df: DataFrame, order: list[str], skip: int, n: int, most: int = 20_000, ranges: int = 64) -> DataFrame:
+def rows_at(df: DataFrame, order: list[str], skip: int, n: int, most: int = 20_000, ranges: int = 16) -> DataFrame:
     """``n`` rows from the place ``skip`` on, by ``order``; a column with ``-`` falls.
 
     While the place is beyond ``most`` the rows are counted by ranges: edges come from a
@@ -89,7 +89,11 @@ def rows_at(df: DataFrame, order: list[str], skip: int, n: int, most: int = 20_0
         step = max(1, total // (ranges * 32))
         sample = _sorted(df.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0).distinct(), order).collect()
         edges = [tuple(r) for r in sample[:: max(1, len(sample) // ranges)]]
-        place = sum((F.when(after | same, 1).otherwise(0) for after, same in (_stands(order, e) for e in edges)), F.lit(0))
+        # The first edge that a row stands before: one flat CASE, however many edges there are.
+        place = F
+        for i, (after, same) in enumerate(_stands(order, e) for e in edges):
+            place = place.when(~(after | same), i)
+        place = F.lit(0) if place is F else place.otherwise(len(edges))
         counts = dict(df.groupBy(place.alias("r")).count().collect())
         first, before = 0, 0
         while before + counts.get(first, 0) <= skip:
