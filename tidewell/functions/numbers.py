@@ -52,18 +52,14 @@ def l2_normalize(v: Column | str, eps: float = 1e-12) -> Column:
 
 def mean_pool(vectors: Column | str, mask: Column | str, eps: float = 1e-9) -> Column:
     """Mean of the vectors whose mask is 1."""
-    both, dim = F.arrays_zip(col(vectors).alias("v"), col(mask).alias("m")), F.size(F.element_at(col(vectors), 1))
+    dim = F.size(F.element_at(col(vectors), 1))
     total = F.aggregate(col(mask), F.lit(0.0), lambda s, m: s + m)
     return F.transform(
         F.sequence(F.lit(0), dim - 1),
-        lambda i: F.aggregate(both, F.lit(0.0), lambda s, x: s + F.get(x[x_field(0)], i).cast("double") * x[x_field(1)]) / (total + F.lit(eps)),
+        lambda i: F.aggregate(F.zip_with(col(vectors), col(mask), lambda v, m: F.get(v, i).cast("double") * m), F.lit(0.0), lambda s, x: s + x) / (total + F.lit(eps)),
     )
 
 
-def x_field(i: int) -> str:
-    return ("v", "m")[i]
-
-
 def pool(vectors: Column | str, mask: Column | str, mode: int) -> Column:
     """1 mean, 2 first, 3 last of the vectors in the mask."""
     if mode == 1:
@@ -72,6 +68,12 @@ def pool(vectors: Column | str, mask: Column | str, mode: int) -> Column:
     return F.try_element_at(kept, F.lit(1 if mode == 2 else -1))
 
 
+def round_signed(x: Column, digits: int) -> Column:
+    """``round`` that keeps the sign of what it rounds to zero, as IEEE and DuckDB do; Spark's goes by decimals and has no -0.0."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
 def token_estimate(x: Column | str) -> Column:
     """A quarter of the UTF-8 bytes, rounded up; null counts nothing."""
     return F.ceil(F.octet_length(F.coalesce(col(x), F.lit(""))) / F.lit(4.0)).cast("bigint")
