@@ -103,3 +103,11 @@ def test_reports_outlive_the_change(spark, base):
     base.delete(base.docs().select("doc_id"))
     assert refused.count() == 50 and base.docs().count() == base.chunks().count() == base.tag_stats().count() == 0
     assert {r.doc_id: (r.chunk_count, r.error) for r in made.collect()} == {document_id("new.md"): (2, None), document_id("empty.md"): (0, None)}
+
+
+def test_an_update_holds_its_changes_once(spark, base, monkeypatch):
+    """Plans after it read the written changes; the old texts aren't moved for each of them."""
+    held, real = [], KnowledgeBase._held
+    monkeypatch.setattr(KnowledgeBase, "_held", lambda self, rows: held.append(rows.columns) or real(self, rows))
+    base.update(spark.createDataFrame([(document_id("notes.md"), "more")], "doc_id string, content string"), append_text=True)
+    assert held[0] == ["doc_id", "content", "_large"]

@@ -105,8 +105,7 @@ class KnowledgeBase:
         )
         large = rows.where(documents.too_large(F.col("content")))
         one = self._held(self._labelled(mutations.last_write(rows.where(~documents.too_large(F.coalesce("content", F.lit("")))), ["doc_id"], ["content"])))
-        table, failed = self._index(one)
-        table = self._held(table)
+        table, failed = self._index(one)  # its chunks are held; vectors are made where the change writes them
         report = index_results(one, table, failed).unionByName(large.select("doc_id", F.lit(0).cast("long").alias("chunk_count"), F.lit("too large").alias("error")))
 
         def make(now: Snapshot):
@@ -133,9 +132,7 @@ class KnowledgeBase:
             refused = changes.join(old, "doc_id", "left_anti").select("doc_id", F.lit("not found").alias("error"))
             if "content" in changes.columns:
                 whole = F.concat_ws("\n", "_old", "content") if append_text else F.coalesce("content", "_old")
-                large = documents.too_large(F.coalesce(whole, F.lit("")))
-                refused = refused.unionByName(asked.where(large).select("doc_id", F.lit("too large").alias("error")))
-                asked = asked.where(~large)
+                asked = asked.withColumn("_large", documents.too_large(F.coalesce(whole, F.lit(""))))
             if "name" in changes.columns:
                 asked = asked.withColumn("name", F.nullif(sanitize_file_name("name"), F.lit("")))
             if {"add_tags", "remove_tags"} & set(changes.columns):
@@ -143,7 +140,11 @@ class KnowledgeBase:
                 none = F.lit(None).cast("array<string>")
                 parts = (F.col(c) if c in changes.columns else none for c in ("add_tags", "remove_tags"))
                 asked = asked.withColumn("tags", documents.edit_tag_arrays(given, *parts))
-            asked = asked.drop("_tags", "_old")
+            # Held, as many plans below use it and each would move all old texts again.
+            asked = self._held(asked.drop("_tags", "_old"))
+            if "content" in changes.columns:
+                refused = refused.unionByName(asked.where("_large").select("doc_id", F.lit("too large").alias("error")))
+                asked = asked.where("not _large").drop("_large")
             docs = mutations.update_document(old, asked, append_text).withColumn("size", F.octet_length("content").cast("long"))
             if "name" in changes.columns:
                 docs = self._labelled(docs).select(*DOC.names)
