@@ -37,3 +37,8 @@ def test_a_server_of_several_slices_is_one_row(spark, sf_dir, with_tables):
     at = with_tables(part=part.where("p_partkey % 50 <> 0").unionByName(names.select(*part.columns)))
     assert catalogue.QUERIES["tools_by_server"](spark, at).where("n = 12000").count() == 1
     same(spark, "tools_by_server", at)
+
+
+def test_catalogs_of_skills_are_not_broadcast(spark, sf_dir):
+    for name in ("stale_exports", "verified_exports"):
+        assert "BroadcastHashJoin" not in catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

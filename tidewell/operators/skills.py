@@ -9,8 +9,12 @@ from tidewell.functions.text import slugify
 
 
 def exports_with_skills(exports: DataFrame, skills: DataFrame) -> DataFrame:
-    """Exports with the directory of their skill."""
-    return exports.join(skills.select(F.col("id").alias("skill_id"), "dir_name"), "skill_id")
+    """Exports with the directory of their skill.
+
+    Skills and listings grow with the catalog and their files are far smaller than their rows, so
+    neither is held whole by a task as a file's size would suggest.
+    """
+    return exports.join(skills.select(F.col("id").alias("skill_id"), "dir_name").hint("merge"), "skill_id")
 
 
 def orphan_exports(exports: DataFrame, skills: DataFrame) -> DataFrame:
@@ -20,12 +24,12 @@ def orphan_exports(exports: DataFrame, skills: DataFrame) -> DataFrame:
 
 def stale_exports(exports: DataFrame, skills: DataFrame, listing: DataFrame) -> DataFrame:
     """Exports whose directory isn't in the agent's listing ``(agent_id, dir_name)``."""
-    return exports_with_skills(exports, skills).join(listing, ["agent_id", "dir_name"], "left_anti")
+    return exports_with_skills(exports, skills).join(listing.hint("merge"), ["agent_id", "dir_name"], "left_anti")
 
 
 def verified_exports(exports: DataFrame, skills: DataFrame, listing: DataFrame) -> DataFrame:
     """``(skill_id, agents)``: sorted agents whose listing holds the export."""
-    there = exports_with_skills(exports, skills).join(listing, ["agent_id", "dir_name"], "left_semi")
+    there = exports_with_skills(exports, skills).join(listing.hint("merge"), ["agent_id", "dir_name"], "left_semi")
     return there.groupBy("skill_id").agg(F.array_join(F.array_sort(F.collect_set("agent_id")), ",").alias("agents"))
 
 
