@@ -108,3 +108,16 @@ def test_scripts_without_blanks_are_cut_at_sentences_and_words():
     chunks = chunk_text("x.txt", text, 8, 0, len)
     assert "".join(chunks) == text and chunks[0] == "他说好。他说好。" and all(len(c) <= 8 for c in chunks)
     assert all(not c.startswith("タ") for c in chunks), "katakana words stay whole"
+
+
+def test_a_batch_is_chunked_in_bounded_parts(monkeypatch):
+    import pandas as pd
+
+    from tidewell.operators import chunking
+
+    monkeypatch.setattr(chunking, "MOST_CHARS", 10)
+    b = pd.DataFrame({"text": ["a" * 6, None, "b" * 5, "c" * 30, "d", ""]})
+    parts = list(chunking._bounded(b))
+    assert [len(p) for p in parts] == [2, 1, 1, 2] and pd.concat(parts).equals(b)
+    assert [len(p) for p in chunking._bounded(pd.DataFrame({"text": ["x"] * 1100}))] == [10] * 110
+    assert len(list(chunking._bounded(b.iloc[:0]))) == 1
