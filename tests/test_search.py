@@ -1,5 +1,7 @@
 import math
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,18 @@ def test_schema_guard(chunks):
     assert schema_guard(chunks, 3)
     assert schema_guard(chunks.drop("tags"), 2)
     assert schema_guard(chunks.withColumn("tags", F.lit("x")), 2)
+
+
+def test_scores_of_a_block_are_held_in_parts():
+    """What a block holds besides its vectors doesn't grow with its rows, and the parts give the hits of the whole."""
+    r = np.random.default_rng(3)
+    m, q = r.standard_normal((20_000, 8)), r.standard_normal((300, 8))
+    at = np.arange(20_000)
+    tracemalloc.start()
+    hits = search._best(np.arange(300), q, at, at * 0, m, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    score = np.round(q @ m.T, search.DIGITS)
+    want = [np.lexsort((at, -s))[:3] for s in score]
+    assert hits["doc_id"].tolist() == np.concatenate(want).tolist()

@@ -45,6 +45,8 @@ def query_terms(query: str) -> list[str]:
 DIGITS = 12
 #: Bytes of doubles that a block of vectors has in a task.
 BLOCK = 16 << 20
+#: Bytes of scores that a task holds at once, but for a single query's.
+SCORES = 8 << 20
 _HITS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("chunk_index", pa.int64()), ("score", pa.float64())])
 
 
@@ -94,13 +96,15 @@ def _best(ids: np.ndarray, q: np.ndarray, doc: np.ndarray, chunk: np.ndarray, m:
     order = np.lexsort((chunk, doc))
     doc, chunk, m, n = doc[order], chunk[order], m[order], min(k, len(m))
     out: dict[str, list] = {c: [np.empty(0, dtype=np.int64)] * (c != "score") + [np.empty(0)] * (c == "score") for c in _HITS.names}
-    for at in range(0, len(ids) if n else 0, 256):  # so many columns of scores at a time
-        score = np.round(m @ q[at : at + 256].T, DIGITS)
-        least = np.partition(score, len(m) - n, axis=0)[len(m) - n]
-        for j, query in enumerate(ids[at : at + 256]):
-            row = np.flatnonzero(score[:, j] >= least[j])  # all ties of the last place, in key order
-            row = row[np.argsort(-score[row, j], kind="stable")[:n]]
-            for name, value in zip(_HITS.names, (np.full(len(row), query), doc[row], chunk[row], score[row, j]), strict=True):
+    step = max(1, SCORES // (8 * max(len(m), 1)))
+    for at in range(0, len(ids) if n else 0, step):
+        score = q[at : at + step] @ m.T
+        np.round(score, DIGITS, out=score)
+        least = np.partition(score, len(m) - n, axis=1)[:, len(m) - n]
+        for j, query in enumerate(ids[at : at + step]):
+            row = np.flatnonzero(score[j] >= least[j])  # all ties of the last place, in key order
+            row = row[np.argsort(-score[j, row], kind="stable")[:n]]
+            for name, value in zip(_HITS.names, (np.full(len(row), query), doc[row], chunk[row], score[j, row]), strict=True):
                 out[name].append(value)
     return {c: np.concatenate(v) for c, v in out.items()}
 
